@@ -38,7 +38,7 @@ def fold_tables() -> tuple[str, str, dict[str, str]]:
         if unicodedata.combining(ch):
             continue
         out = _decomposed(ch)
-        if out != ch:
+        if out != ch and any(c.isascii() and c.isalnum() for c in out):  # the rest never reaches a key
             if len(out) == 1:
                 single.append((ch, out))
             else:
@@ -46,14 +46,26 @@ def fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(a for a, _ in single), "".join(b for _, b in single), many
 
 
+def char_class(chars) -> str:
+    """Regular-expression class of the characters, neighbours joined to ranges."""
+    spans: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if spans and cp == spans[-1][1] + 1:
+            spans[-1][1] = cp
+        else:
+            spans.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
 def fold_accents(col: Column) -> Column:
-    """NFKD without combining marks, plus the stroked letters."""
+    """Compatibility decomposition without marks, plus the stroked letters, of all
+    signs whose folded form holds a plain letter or digit; others stay."""
     src, dst, many = fold_tables()
     bare = F.regexp_replace(col, r"\p{M}+", "")
     grown = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
     spread = F.array_join(F.transform(F.split(bare, ""), lambda c: F.coalesce(F.element_at(grown, c), c)), "")
-    signs = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in many) + "]"
-    return F.translate(F.when(bare.rlike(signs), spread).otherwise(bare), src, dst)
+    full = F.translate(F.when(bare.rlike(char_class(many)), spread).otherwise(bare), src, dst)
+    return F.when(col.rlike(r"[^\x00-\x7f]"), full).otherwise(col)
 
 
 def match_key(col: Column) -> Column:
