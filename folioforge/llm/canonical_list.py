@@ -1,7 +1,7 @@
 """Free-entered values mapped to a canonical list by a pigeonhole join, in SQL.
 
 Every value and every list label is folded and compacted to letters. A label of
-length n allows k edits (0 below 5 letters, 1 below 7, 2 below 10, else 3) and is
+length n allows k edits (0 below 5 letters, 1 below 7, 2 below 10, 3 below 13, else 4) and is
 cut into k + 1 segments: a value within k edits keeps one segment intact at most
 k places away. Substrings of the values are equality-joined to the segments at
 such places, survivors are verified with ``levenshtein``, the closest entry wins,
@@ -21,58 +21,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from folioforge.functions.folding import fold_accents
+from folioforge.runtime import cut
 
-EDITS = "CASE WHEN length({0}) < 5 THEN 0 WHEN length({0}) < 7 THEN 1 WHEN length({0}) < 10 THEN 2 ELSE 3 END"
+EDITS = "CASE WHEN length({0}) < 5 THEN 0 WHEN length({0}) < 7 THEN 1 WHEN length({0}) < 10 THEN 2 WHEN length({0}) < 13 THEN 3 ELSE 4 END"
 
 _LABELS = """
 WITH words AS (
   SELECT entry_id, split(trim(regexp_replace(folded, '[^a-z0-9]+', ' ')), ' ') AS w FROM labels
+), turned AS (
+  SELECT entry_id, concat(slice(w, i, size(w)), slice(w, 1, i - 1)) AS w FROM words LATERAL VIEW explode(sequence(1, size(w))) s AS i
 ), forms AS (
-  SELECT entry_id, array_join(w, '') AS ref, false AS cut_short FROM words
+  SELECT entry_id, array_join(w, '') AS ref, false AS cut_short FROM turned
   UNION
   SELECT entry_id, array_join(transform(w, (x, i) -> CASE WHEN i = p THEN substring(x, 1, n) ELSE x END), ''), true
-  FROM words LATERAL VIEW posexplode(w) e AS p, x LATERAL VIEW explode(sequence(3, 7)) s AS n
+  FROM turned LATERAL VIEW posexplode(w) e AS p, x LATERAL VIEW explode(sequence(3, 7)) s AS n
   WHERE length(x) > n
 ), sized AS (
   SELECT entry_id, ref, cut_short, {edits} AS k FROM forms WHERE length(ref) > 0
 )
-SELECT entry_id, ref, cut_short, k, i AS seg_no,
-       CAST(floor(length(ref) * i / (k + 1)) AS INT) + 1 AS seg_at,
-       substring(ref, CAST(floor(length(ref) * i / (k + 1)) AS INT) + 1,
-                 CAST(floor(length(ref) * (i + 1) / (k + 1)) AS INT) - CAST(floor(length(ref) * i / (k + 1)) AS INT)) AS seg
-FROM sized LATERAL VIEW explode(sequence(0, k)) s AS i
+SELECT DISTINCT entry_id, ref, cut_short, k, substring(ref, a + 1, b - a) AS seg, a + 1 + shift AS at
+FROM (SELECT *, CAST(floor(length(ref) * i / (k + 1)) AS INT) AS a, CAST(floor(length(ref) * (i + 1) / (k + 1)) AS INT) AS b
+      FROM sized LATERAL VIEW explode(sequence(0, k)) s AS i)
+LATERAL VIEW explode(sequence(-k, k)) t AS shift
+WHERE b > a AND a + 1 + shift >= 1
 """
 
 _SHAPES = """
-WITH turned AS (
-  SELECT v, folded AS f FROM vals
-  UNION SELECT v, regexp_replace(folded, '^([^,]*),(.*)$', '$2 $1') FROM vals WHERE folded LIKE '%,%'
-), stripped AS (
-  SELECT v, f FROM turned
-  UNION SELECT v, regexp_replace(f, '[(\\\\[][^)\\\\]]*[)\\\\]]', ' ') FROM turned WHERE f RLIKE '[(\\\\[]'
-), headless AS (
-  SELECT v, f FROM stripped
-  UNION SELECT v, regexp_replace(f, '^[^/:]*[/:]', '') FROM stripped WHERE f RLIKE '[/:]'
-), tailless AS (
-  SELECT v, f FROM headless
-  UNION SELECT v, regexp_replace(f, ' -[^-]*$', '') FROM headless WHERE f LIKE '% -%'
-), turned_late AS (
-  SELECT v, f FROM tailless
-  UNION SELECT v, regexp_replace(f, '^([^,]*),(.*)$', '$2 $1') FROM tailless WHERE f LIKE '%,%'
-)
-SELECT DISTINCT v, regexp_replace(f, '[^a-z0-9]+', '') AS form, trim(f) RLIKE '[a-z][.]' AS dotted
-FROM turned_late WHERE length(regexp_replace(f, '[^a-z0-9]+', '')) > 0
+SELECT DISTINCT v, regexp_replace(f5, '[^a-z0-9]+', '') AS form, trim(f5) RLIKE '[a-z][.]' AS dotted
+FROM vals
+LATERAL VIEW explode(array_distinct(array(folded, regexp_replace(folded, '^([^,]*),(.*)$', '$2 $1')))) a AS f1
+LATERAL VIEW explode(array_distinct(array(f1, regexp_replace(f1, '[(].*$| [^ ]*[)]', ' ')))) b AS f2
+LATERAL VIEW explode(array_distinct(array(f2, regexp_replace(f2, '^.*[/:]', ''),
+                                          regexp_replace(f2, '^[^. ]+[.](?= *[a-z])', '')))) c AS f3
+LATERAL VIEW explode(array_distinct(array(f3, regexp_replace(f3, '( -|- ).*$', '')))) d AS f4
+LATERAL VIEW explode(array_distinct(array(f4, regexp_replace(f4, '^([^,]*),(.*)$', '$2 $1')))) e AS f5
+WHERE length(regexp_replace(f5, '[^a-z0-9]+', '')) > 0
 """
 
 _MATCH = """
 WITH grams AS (
-  SELECT v, form, dotted, p AS at, n, substring(form, p, n) AS g
+  SELECT v, form, dotted, p AS at, substring(form, p, n) AS g
   FROM shapes LATERAL VIEW explode(sequence(1, length(form))) s AS p LATERAL VIEW explode({lens}) l AS n
   WHERE p + n - 1 <= length(form)
 ), pairs AS (
-  SELECT DISTINCT g.v, g.form, r.entry_id, r.ref, r.k, r.cut_short
-  FROM grams g JOIN segs r ON g.g = r.seg AND g.n = length(r.seg)
-   AND abs(g.at - r.seg_at) <= r.k AND abs(length(g.form) - length(r.ref)) <= r.k AND (g.dotted OR NOT r.cut_short)
+  SELECT /*+ BROADCAST(r) */ DISTINCT g.v, g.form, r.entry_id, r.ref, r.k, r.cut_short
+  FROM grams g JOIN segs r ON g.g = r.seg AND g.at = r.at
+   AND abs(length(g.form) - length(r.ref)) <= r.k AND (g.dotted OR NOT r.cut_short)
 ), near AS (
   SELECT v, entry_id, levenshtein(form, ref, k) AS d, length(ref) AS n, cut_short FROM pairs
 )
@@ -91,14 +85,14 @@ def map_to_list(cells: DataFrame, entries: DataFrame, text: str = "cell") -> Dat
     names = [c for c in entries.columns if c != "entry_id"]
     labels = entries.select("entry_id", F.explode(F.array(*names)).alias("label")).where("label IS NOT NULL")
     labels.select("entry_id", F.lower(fold_accents(F.col("label"))).alias("folded")).createOrReplaceTempView("labels")
-    spark.sql(_LABELS.format(edits=EDITS.format("ref"))).createOrReplaceTempView("segs")
+    cut(spark.sql(_LABELS.format(edits=EDITS.format("ref"))), "segments").createOrReplaceTempView("segs")
     lens = [r[0] for r in spark.sql("SELECT DISTINCT length(seg) FROM segs WHERE length(seg) > 0").collect()] or [1]
     cases = cells.where(F.col(text).rlike(r"\p{L}")).join(
         F.broadcast(labels.select(F.col("label").alias("_literal")).distinct()), F.col(text) == F.col("_literal"), "left_anti")
     distinct = cases.select(F.col(text).alias("v")).distinct()
-    distinct.select("v", F.lower(fold_accents(F.col("v"))).alias("folded")).createOrReplaceTempView("vals")
-    spark.sql(_SHAPES).createOrReplaceTempView("shapes")
-    best = spark.sql(_MATCH.format(lens=f"array({', '.join(map(str, sorted(lens)))})"))
+    distinct.select("v", F.translate(F.lower(fold_accents(F.col("v"))), "_", " ").alias("folded")).createOrReplaceTempView("vals")
+    cut(spark.sql(_SHAPES), "shapes").createOrReplaceTempView("shapes")
+    best = cut(spark.sql(_MATCH.format(lens=f"array({', '.join(map(str, sorted(lens)))})")), "list-matches")
     keyed = cases.withColumnRenamed(text, "v")
     found = keyed.join(best, "v")
     missed = keyed.join(best, "v", "left_anti").withColumn("entry_id", F.lit(0))

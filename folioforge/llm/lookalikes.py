@@ -44,7 +44,7 @@ WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 HYPHENS = "‐‑"
 
-SUSPECT = char_class(set(CYRILLIC + GREEK + INVISIBLE + BLANKS + WIDE + HYPHENS + "".join(LIGATURES)))[:-1] + r"\p{Mn}]"
+SUSPECT = char_class(set(INVISIBLE + BLANKS + WIDE + HYPHENS + "".join(LIGATURES)))[:-1] + r"\p{IsCyrillic}\p{IsGreek}\p{Mn}]"
 _OWN_CYR = r"[\p{IsCyrillic}&&[^" + "".join(f"\\x{{{ord(c):x}}}" for c in CYRILLIC) + "]]"
 _OWN_GREEK = r"[\p{IsGreek}&&[^" + "".join(f"\\x{{{ord(c):x}}}" for c in GREEK) + "]]"
 
