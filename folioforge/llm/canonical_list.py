@@ -91,7 +91,8 @@ def map_to_list(cells: DataFrame, entries: DataFrame, text: str = "cell") -> Dat
         F.broadcast(labels.select(F.col("label").alias("_literal")).distinct()), F.col(text) == F.col("_literal"), "left_anti")
     distinct = cases.select(F.col(text).alias("v")).distinct()
     distinct.select("v", F.translate(F.lower(fold_accents(F.col("v"))), "_", " ").alias("folded")).createOrReplaceTempView("vals")
-    cut(spark.sql(_SHAPES), "shapes").createOrReplaceTempView("shapes")
+    wide = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be coalesced
+    cut(spark.sql(_SHAPES).repartition(wide), "shapes").createOrReplaceTempView("shapes")
     best = cut(spark.sql(_MATCH.format(lens=f"array({', '.join(map(str, sorted(lens)))})")), "list-matches")
     keyed = cases.withColumnRenamed(text, "v")
     found = keyed.join(best, "v")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioforge.llm.canonical_list import map_to_list
+from folioforge.llm.containers import fill_containers
 from folioforge.llm.layout_copies import layout_copies
 from folioforge.llm.lookalikes import clean_cells
+from folioforge.llm.mixture import draw_mixture, mixture_shares
 from folioforge.llm.quality import page_quality
 from folioforge.llm.survivors import ranked_values, survivors
-from folioforge.runtime import table
+from folioforge.llm.tokens import TOKENIZER, token_counts
+from folioforge.runtime import cut, table
 
 NAME_FIELDS = ["author_raw", "author_first_last", "author_last_first"]
 
@@ -63,6 +66,35 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return clean_cells(cells).select("field", "rec_key", "clean_text")
 
 
+def p8_containers(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Container and place of every document, for each capacity."""
+    sized = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", path=tokenizer), "tokens")
+    return fill_containers(sized, table(spark, d, "container_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, their fill and the fewest that could do, by capacity."""
+    return p8_containers(spark, d).groupBy("container", "capacity").agg(
+        F.countDistinct("bin").alias("containers"), F.sum("tokens").alias("tokens")).select(
+        "container", "capacity", "containers", "tokens",
+        F.ceil(F.col("tokens") / F.col("capacity")).alias("fewest"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill"))
+
+
+def _mix(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    sized = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", ["source"], tokenizer), "tokens")
+    return draw_mixture(sized, table(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the mixture with their repetitions, in random order."""
+    return _mix(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixture_shares(_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return page_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
 
@@ -77,7 +109,7 @@ def p10_distance(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p4_found, p4_collapsed, p5_found, p6_found, p10_found, p10_distance)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p4_found, p4_collapsed, p5_found, p6_found, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_distance)}
 
 ORACLES = {
     "p3_found": " UNION ALL ".join(f"""
