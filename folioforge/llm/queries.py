@@ -4,19 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from folioforge.functions.folding import author_key, match_key
 from folioforge.llm.canonical_list import map_to_list
 from folioforge.llm.containers import fill_containers
 from folioforge.llm.layout_copies import layout_copies
-from folioforge.llm.lookalikes import clean_cells
+from folioforge.llm.lookalikes import SUSPECT, clean_cells, mapped
 from folioforge.llm.mixture import draw_mixture, mixture_shares
+from folioforge.llm.name_variants import link_names
 from folioforge.llm.quality import page_quality
 from folioforge.llm.survivors import ranked_values, survivors
 from folioforge.llm.tokens import TOKENIZER, token_counts
+from folioforge.operators.packed import PEOPLE, items_of
 from folioforge.runtime import cut, table
 
 NAME_FIELDS = ["author_raw", "author_first_last", "author_last_first"]
 
 
+def author_names(spark: SparkSession, d: str) -> DataFrame:
+    """(key, name): each author key with one folded spelling whose words make it up."""
+    plain = lambda c: F.when(F.col(c).rlike(SUSPECT), mapped(F.col(c))).otherwise(F.col(c))
+    rows = table(spark, d, "author_rows").where("group_key <> ''").select(
+        F.col("group_key").alias("key"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), plain(f).alias("v")) for i, f in enumerate(
+            ["author_first_last", "author_last_first", "author_raw"])])).alias("f"))
+    rows = rows.select("key", F.col("f.i").alias("i"), match_key(F.col("f.v")).alias("name"))
+    cells = table(spark, d, "books").select(F.explode("creators").alias("cell")).where("cell is not null").distinct()
+    single = cells.where(F.size(items_of(F.col("cell"), PEOPLE)) == 1)
+    held = single.select(author_key(F.col("cell")).alias("key"), F.lit(3).alias("i"), match_key(F.col("cell")).alias("name"))
+    fits = F.when(F.regexp_replace("name", " ", "") == F.col("key"), F.struct("i", "name"))
+    named = rows.unionByName(held).where("key <> ''").groupBy("key").agg(F.min(fits).alias("best"))
+    return named.select("key", F.coalesce("best.name", "key").alias("name"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of author keys that stand for the same author."""
+    keys = cut(author_names(spark, d).withColumn("form", F.array_join(F.array_sort(F.split("name", " ")), " ")), "author-keys")
+    forms = cut(keys.groupBy("form").agg(F.min("name").alias("name")).withColumn("id", F.xxhash64("form")), "forms")
+    authors = link_names(forms.select("id", "name"))
+    tied = keys.withColumn("id", F.xxhash64("form")).join(authors, "id", "left").select("key", F.coalesce("author", "id").alias("author"))
+    tied = cut(tied, "authors")
+    return tied.select(F.col("key").alias("key_a"), "author").join(tied.select(F.col("key").alias("key_b"), "author"), "author").where(
+        "key_a < key_b").select("key_a", "key_b")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The row whose value survives, per group key and name field."""
     conf = F.col("confidence_rank")
@@ -109,7 +138,7 @@ def p10_distance(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p4_found, p4_collapsed, p5_found, p6_found, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_distance)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_survivors, p4_found, p4_collapsed, p5_found, p6_found, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_distance)}
 
 ORACLES = {
     "p3_found": " UNION ALL ".join(f"""
