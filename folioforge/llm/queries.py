@@ -8,6 +8,7 @@ from folioforge.functions.folding import author_key, match_key
 from folioforge.llm.canonical_list import map_to_list
 from folioforge.llm.containers import fill_containers
 from folioforge.llm.layout_copies import layout_copies
+from folioforge.llm.linkage import link_works, matches
 from folioforge.llm.lookalikes import SUSPECT, clean_cells, mapped
 from folioforge.llm.mixture import draw_mixture, mixture_shares
 from folioforge.llm.name_variants import link_names
@@ -95,6 +96,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return clean_cells(cells).select("field", "rec_key", "clean_text")
 
 
+def _works(spark: SparkSession, d: str) -> DataFrame:
+    return link_works(table(spark, d, "books"), table(spark, d, "candidates"), table(spark, d, "online_candidates"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Book rows and online rows of the same work."""
+    return matches(_works(spark, d)).select("book_id", "online_id")
+
+
+def p7_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate pair with its votes and confidence."""
+    return _works(spark, d)
+
+
 def p8_containers(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Container and place of every document, for each capacity."""
     sized = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", path=tokenizer), "tokens")
@@ -138,7 +153,7 @@ def p10_distance(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_survivors, p4_found, p4_collapsed, p5_found, p6_found, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_distance)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_survivors, p4_found, p4_collapsed, p5_found, p6_found, p7_found, p7_confidence, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_distance)}
 
 ORACLES = {
     "p3_found": " UNION ALL ".join(f"""
