@@ -129,9 +129,10 @@ def fill_containers(sized: DataFrame, kinds: DataFrame, id_col: str = "doc_id",
         out.insert(1, "capacity", int(cap))
         return out
 
-    caps = F.broadcast(kinds.where("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("int").alias("capacity")))
+    listed = kinds.where("capacity_tokens > 0").select("container", "capacity_tokens").limit(1000).collect()
+    caps = F.array(*[F.struct(F.lit(r[0]).alias("container"), F.lit(int(r[1])).alias("capacity")) for r in listed])
     rows = sized.select(F.col(id_col).alias("doc_id"), F.col("tokens").cast("long"),
                         F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(shards)), F.lit(0)).cast("int").alias("shard"))
-    every = rows.join(caps, F.lit(True))  # kinds is a list of a few rows: each document goes into each kind
+    every = rows.select("*", F.inline(caps)) if listed else rows.selectExpr("*", "'' AS container", "0 AS capacity").where("false")
     parts = max(8, min(3 * shards, 100_000))
     return every.repartition(parts, "container", "shard").groupBy("container", "capacity", "shard").applyInPandas(run, OUT.format(id_type))

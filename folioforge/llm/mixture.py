@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 REACH = 0.95
 BINS = 2048
@@ -107,6 +107,6 @@ def mixture_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and actual token share of each target source."""
     by = mix.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"), F.max("copy_no").alias("most_repeats"))
     rows = F.broadcast(targets).join(by, "source", "left").na.fill(0, ["tokens", "copies", "most_repeats"])
-    whole = by.agg(F.sum("tokens").alias("_all"))
-    return rows.join(F.broadcast(whole), F.lit(True)).select(
-        "source", "target_share", F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("actual_share"), "max_repeats", "most_repeats", "copies", "tokens")
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # over the short list of sources only
+    return rows.select(
+        "source", "target_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("actual_share"), "max_repeats", "most_repeats", "copies", "tokens")
