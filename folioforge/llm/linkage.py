@@ -1,7 +1,7 @@
 """Matching two sources without keys by a label model over matching functions.
 
-Blocking pairs rows that share two of the three rarest words of a title, a family
-name with one of these words, or a book number. Each candidate pair gets a vote
+Blocking pairs rows that share the start of a family name with one of the three
+rarest words of a title, these words alone, or a book number. Each candidate pair gets a vote
 of every matching function. Pairs are counted by vote pattern (at most 3 to the
 number of functions), and a generative model is learned from the counts alone by
 expectation-maximisation: each function's votes given match or no match, and,
@@ -47,8 +47,17 @@ def _votes(b: pa.Array, o: pa.Array, guesses: pa.Array) -> pa.Array:
     return pa.array([votes(x, y, g or []) for x, y, g in zip(b.to_pylist(), o.to_pylist(), guesses.to_pylist())], pa.list_(pa.int32()))
 
 
-def _block_keys(rows: DataFrame, df: DataFrame) -> DataFrame:
-    """(id, key) of the rows; ``df`` counts each title word."""
+def _families(b: DataFrame, o: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, f): start of the family name, the rarer of a name's first and last word."""
+    ends = "filter(array(element_at(split(a, ' '), 1), element_at(split(a, ' '), -1)), x -> length(x) > 2)"
+    sides = [x.select("id", F.explode("c.authors").alias("a")).select("id", "a", F.explode(F.expr(ends)).alias("w")) for x in (b, o)]
+    df = sides[0].select("w").unionAll(sides[1].select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    best = [x.join(df, "w").groupBy("id", "a").agg(F.min(F.struct("df", "w")).alias("m")) for x in sides]
+    return tuple(x.select("id", F.expr("substring(m.w, 1, 4)").alias("f")).distinct() for x in best)
+
+
+def _block_keys(rows: DataFrame, df: DataFrame, families: DataFrame) -> DataFrame:
+    """(id, key, need, nameless) of the rows; ``df`` counts each title word."""
     title = rows.select("id", F.explode("c.titles").alias("t")).select("id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
     rare = (
         title.where("length(w) >= 3").join(df, "w")
@@ -56,12 +65,26 @@ def _block_keys(rows: DataFrame, df: DataFrame) -> DataFrame:
         .select("id", F.transform("r", lambda x: x["w"]).alias("r"))
     )
     two = rare.select("id", F.explode(F.expr(
-        "flatten(transform(r, x -> transform(filter(r, y -> y > x), y -> concat(x, ' ', y))))")).alias("key"))
-    last = F.expr("flatten(transform(c.authors, a -> filter(array(element_at(split(a, ' '), 1), element_at(split(a, ' '), -1)), x -> length(x) > 2)))")
-    family = rows.select("id", last.alias("f")).join(rare, "id").select("id", F.explode(F.expr(
-        "flatten(transform(array_distinct(f), x -> transform(r, y -> concat('@', x, ' ', y))))")).alias("key"))
-    isbn = rows.select("id", F.explode("c.isbns").alias("key"))
-    return two.union(family).union(isbn).distinct()
+        "flatten(transform(r, x -> transform(filter(r, y -> y > x), y -> concat(x, ' ', y))))")).alias("key"),
+        F.when(F.size("r") > 2, 3).otherwise(1).alias("need"))
+    family = families.join(rare, "id").select("id", F.explode(F.transform("r", lambda x: F.concat(F.lit("@"), "f", F.lit(" "), x))).alias("key"), F.lit(0).alias("need"))
+    isbn = rows.select("id", F.explode("c.isbns").alias("key"), F.lit(0).alias("need"))
+    keys = two.union(family).union(isbn).groupBy("id", "key").agg(F.min("need").alias("need"))
+    return keys.join(rows.select("id", (F.size("c.authors") == 0).alias("nameless")), "id")
+
+
+def candidates(b: DataFrame, o: DataFrame, df: DataFrame) -> DataFrame:
+    """(book_id, online_id) of the pairs worth a vote.
+
+    A book number or a family name's start with a title word is enough; without
+    either all rare title words must agree, or two where a side names no author.
+    """
+    of_b, of_o = _families(b, o)
+    left = _block_keys(b, df, of_b).select("key", F.col("id").alias("book_id"), F.col("need").alias("n1"), F.col("nameless").alias("l1"))
+    right = _block_keys(o, df, of_o).select("key", F.col("id").alias("online_id"), F.col("need").alias("n2"), F.col("nameless").alias("l2"))
+    met = left.join(right, "key").groupBy("book_id", "online_id").agg(
+        F.count_if(F.col("n1") > 0).alias("n"), F.min(F.least("n1", "n2")).alias("need"), F.max(F.col("l1") | F.col("l2")).alias("nameless"))
+    return met.where("need = 0 OR n >= need OR nameless").select("book_id", "online_id")
 
 
 def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -124,7 +147,7 @@ def link_works(books: DataFrame, guesses: DataFrame, online: DataFrame) -> DataF
     o = cut(online.select(F.col("online_id").alias("id"), _online("title", "authors", "identifiers", "series", "volume").alias("c")), "online")
     titles = b.select("c.titles").union(o.select("c.titles"))
     df = cut(titles.select(F.explode(F.array_distinct(F.split(F.array_join("titles", " "), " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")), "title-words")
-    pairs = _block_keys(b, df).withColumnRenamed("id", "book_id").join(_block_keys(o, df).withColumnRenamed("id", "online_id"), "key").select("book_id", "online_id").distinct()
+    pairs = candidates(b, o, df)
     voted = (
         pairs.join(b.select(F.col("id").alias("book_id"), F.col("c").alias("bc"), "g"), "book_id")
         .join(o.select(F.col("id").alias("online_id"), F.col("c").alias("oc")), "online_id")

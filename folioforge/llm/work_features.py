@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from folioforge.functions.folding import fold_exact
 from folioforge.llm.name_rules import edits, likeness
@@ -119,14 +120,16 @@ def _claims(titles, authors, identifiers, series, volume) -> dict:
     return {"titles": list(dict.fromkeys(titles)), "authors": authors, "isbns": isbns(identifiers), "series": series, "volume": volume}
 
 
-def gap(a: str, b: str, most: float = 0.34) -> float:
-    """Edits between two compact texts as a share of the longer, ``most`` + when beyond."""
+def gap(a: str, b: str, most: float = 0.25) -> float:
+    """Edits between two compact texts as a share of the longer, more than ``most`` when beyond."""
     if a == b:
         return 0.0
     n = max(len(a), len(b))
-    limit = int(n * most)
-    d = edits(a.replace(" ", ""), b.replace(" ", ""), max(1, limit))
-    return d / n
+    limit = max(1, int(n * most))
+    if abs(len(a) - len(b)) > limit + 3 or sum((Counter(a) - Counter(b)).values()) > limit + 3:
+        return most + 0.01
+    d = edits(a.replace(" ", ""), b.replace(" ", ""), limit)
+    return d / n if d <= limit else max(d / n, most + 0.01)
 
 
 #: The matching functions in the order of their votes.
@@ -136,8 +139,8 @@ FUNCTIONS = ("title_close", "title_equal", "title_words", "author", "author_coun
 def votes(b: dict, o: dict, guesses: list[str]) -> list[int]:
     """1 for, -1 against, 0 abstains; one vote per matching function."""
     pairs = [(x, y) for x in b["titles"] for y in o["titles"]]
-    near = min((gap(x, y) for x, y in pairs), default=None)
     shared = max((len(s & t) / max(1, len(s | t)) for x, y in pairs for s, t in [(set(x.split()), set(y.split()))]), default=None)
+    near = 0.0 if any(x == y for x, y in pairs) else min((gap(x, y) for x, y in pairs), default=None)
     like = [[likeness(x.split(), y.split(), frozenset()) for y in o["authors"]] for x in b["authors"]]
     met = sum(1 for row in like if max(row, default=0.0) >= 0.4)
     known = bool(b["authors"] and o["authors"])
