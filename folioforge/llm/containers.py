@@ -4,9 +4,9 @@ Documents are hashed into shards of bounded size, each packed on its own:
 lengths above a share of the capacity are sorted, cut into groups of equal
 cardinality and rounded up to the largest of their group; configurations of
 those few sizes are chosen by exact subset-sum over the sizes still available
-and used as often as the stock allows; actual documents then replace the
-rounded sizes, and what the rounding left free is filled best-fit by the small
-documents, the longest first. Every document is placed once per container kind.
+and used as often as the stock allows. Actual documents replace the rounded
+sizes, the last of a container by the space really free, and what then stays
+free is filled best-fit by the small documents, the longest first. Every document is placed once per container kind.
 
 Defined results: a document longer than the capacity gives full containers of
 its own and one rest piece (``piece`` counts from 1, ``from_token`` from 0);
@@ -28,19 +28,6 @@ LARGE = 1 / 8
 OUT = ("container string, capacity int, doc_id {0}, piece int, from_token long, tokens int, bin string, place int, bin_tokens int")
 
 
-def _configurations(sizes: list[int], stock: list[int], cap: int) -> list[tuple[list[int], int]]:
-    """(groups in the container, times used): each time the fullest that the stock allows."""
-    left, out = stock[:], []
-    while any(left):
-        best = _fullest(sizes, left, cap)
-        need = np.bincount(best, minlength=len(sizes))
-        times = min(left[g] // need[g] for g in set(best))
-        for g in set(best):
-            left[g] -= need[g] * times
-        out.append((best, times))
-    return out
-
-
 def _fullest(sizes: list[int], left: list[int], cap: int) -> list[int]:
     """Subset of the stock with the largest total within ``cap``, holding the largest size left."""
     first = max((g for g in range(len(sizes)) if left[g]), key=lambda g: sizes[g])
@@ -79,8 +66,9 @@ def pack(lengths: list[int], cap: int, groups: int = GROUPS, large: float = LARG
     items.sort(key=lambda x: (-x[3], x[0]))
     n_large = sum(1 for x in items if x[3] > cap * large)
     per = max(1, -(-n_large // groups))
-    stacks = [items[a : min(a + per, n_large)] for a in range(0, n_large, per)]
-    sizes = [s[0][3] for s in stacks]
+    sizes = [items[a][3] for a in range(0, n_large, per)]
+    left = [min(per, n_large - a) for a in range(0, n_large, per)]
+    pool = [(x[3], -k) for k, x in reversed(list(enumerate(items[:n_large])))]
     gaps: list[tuple[int, int]] = []
 
     def open_bin(content: list) -> None:
@@ -89,9 +77,28 @@ def pack(lengths: list[int], cap: int, groups: int = GROUPS, large: float = LARG
         if free:
             insort(gaps, (free, len(bins) - 1))
 
-    for config, times in _configurations(sizes, [len(s) for s in stacks], cap) if stacks else []:
-        for _ in range(times):
-            open_bin([stacks[g].pop() for g in config])
+    def take(most: int) -> tuple | None:
+        """The longest document of the pool within ``most``."""
+        at = bisect_left(pool, (most + 1, -n_large - 1)) - 1
+        if at < 0:
+            return None
+        k = -pool.pop(at)[1]
+        left[k // per] -= 1
+        return items[k]
+
+    while pool:
+        config = _fullest(sizes, left, cap)
+        need = np.bincount(config, minlength=len(sizes))
+        while pool and all(left[g] >= need[g] for g in set(config)):
+            content, free = [], cap
+            for g in config[:-1]:  # the longest that its rounded size allows, the last slot by what is really free
+                if got := take(min(sizes[g], free)):
+                    content.append(got)
+                    free -= got[3]
+            while got := take(free):
+                content.append(got)
+                free -= got[3]
+            open_bin(content)
     for x in items[n_large:]:
         at = bisect_left(gaps, (x[3], -1))
         if at == len(gaps):

@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from folioforge.llm.work_features import FUNCTIONS, book_claims, online_claims, series_key, votes
 from folioforge.runtime import cut
 
-CLAIMS = "struct<titles:array<string>,authors:array<string>,isbns:array<string>,series:string,volume:int>"
+_TEXTS = T.ArrayType(T.StringType())
+#: Types as objects: a type text would need a session when this module is imported.
+CLAIMS = T.StructType([T.StructField(n, k) for n, k in (("titles", _TEXTS), ("authors", _TEXTS), ("isbns", _TEXTS), ("series", T.StringType()), ("volume", T.IntegerType()))])
 _CLAIMS = pa.struct([("titles", pa.list_(pa.string())), ("authors", pa.list_(pa.string())), ("isbns", pa.list_(pa.string())), ("series", pa.string()), ("volume", pa.int32())])
 
 
@@ -37,23 +39,29 @@ def _online(title: pa.Array, authors: pa.Array, identifiers: pa.Array, series: p
     return pa.array([online_claims(*r) for r in zip(*(x.to_pylist() for x in (title, authors, identifiers, series, volume)))], _CLAIMS)
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(_TEXTS)
 def _series_keys(cells: pa.Array) -> pa.Array:
     return pa.array([sorted({k for x in c or [] if (k := series_key(x))}) for c in cells.to_pylist()], pa.list_(pa.string()))
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _votes(b: pa.Array, o: pa.Array, guesses: pa.Array) -> pa.Array:
     return pa.array([votes(x, y, g or []) for x, y, g in zip(b.to_pylist(), o.to_pylist(), guesses.to_pylist())], pa.list_(pa.int32()))
 
 
+#: Share of persons up to which a name's outer word counts as a family name; the rarer of the two always does.
+FAMILY = 0.001
+
+
 def _families(b: DataFrame, o: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, f): start of the family name, the rarer of a name's first and last word."""
-    ends = "filter(array(element_at(split(a, ' '), 1), element_at(split(a, ' '), -1)), x -> length(x) > 2)"
+    """(id, f): starts of the words that can be a person's family name."""
+    ends = "array_distinct(filter(array(element_at(split(a, ' '), 1), element_at(split(a, ' '), -1)), x -> length(x) > 2))"
     sides = [x.select("id", F.explode("c.authors").alias("a")).select("id", "a", F.explode(F.expr(ends)).alias("w")) for x in (b, o)]
-    df = sides[0].select("w").unionAll(sides[1].select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    best = [x.join(df, "w").groupBy("id", "a").agg(F.min(F.struct("df", "w")).alias("m")) for x in sides]
-    return tuple(x.select("id", F.expr("substring(m.w, 1, 4)").alias("f")).distinct() for x in best)
+    df = cut(sides[0].select("w").unionAll(sides[1].select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")), "person-words")
+    floor = max(8.0, FAMILY * (df.agg(F.sum("df")).first()[0] or 0) / 2)
+    rarest = F.min("df").over(Window.partitionBy("id", "a"))
+    kept = [x.join(df, "w").withColumn("least", rarest).where((F.col("df") <= floor) | (F.col("df") == F.col("least"))) for x in sides]
+    return tuple(x.select("id", F.substring("w", 1, 4).alias("f")).distinct() for x in kept)
 
 
 def _block_keys(rows: DataFrame, df: DataFrame, families: DataFrame) -> DataFrame:
