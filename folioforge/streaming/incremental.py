@@ -11,9 +11,12 @@ from folioforge.runtime import shared_dir
 
 def stream_counts(spark: SparkSession, path: str, glob: str, keys: list[str]) -> DataFrame:
     """Counts by key of all files not seen before, as one available-now run of a file stream."""
-    schema = spark.read.parquet(f"{path}/{glob}").schema
+    batch = spark.read.parquet(f"{path}/{glob}")
+    one_file = [f.rstrip("/").rsplit("/", 1)[1] for f in batch.inputFiles()] == [glob]
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
+    reader = spark.readStream.schema(batch.schema)
+    # a stream watches a folder: the table's own, or the one its single file stands in
+    stream = reader.option("pathGlobFilter", glob).parquet(path) if one_file else reader.parquet(f"{path}/{glob}")
     query = (
         stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).writeStream.outputMode("complete")
         .option("checkpointLocation", f"{at}/checkpoint").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).trigger(availableNow=True).start())
