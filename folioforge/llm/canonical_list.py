@@ -27,7 +27,7 @@ EDITS = "CASE WHEN length({0}) < 5 THEN 0 WHEN length({0}) < 7 THEN 1 WHEN lengt
 
 _LABELS = """
 WITH words AS (
-  SELECT entry_id, split(trim(regexp_replace(folded, '[^a-z0-9]+', ' ')), ' ') AS w FROM labels
+  SELECT entry_id, split(trim(regexp_replace(folded, '[^a-z0-9]+', ' ')), ' ') AS w FROM _list_labels
 ), turned AS (
   SELECT entry_id, concat(slice(w, i, size(w)), slice(w, 1, i - 1)) AS w FROM words LATERAL VIEW explode(sequence(1, size(w))) s AS i
 ), forms AS (
@@ -48,7 +48,7 @@ WHERE b > a AND a + 1 + shift >= 1
 
 _SHAPES = """
 SELECT DISTINCT v, regexp_replace(f5, '[^a-z0-9]+', '') AS form, trim(f5) RLIKE '[a-z][.]' AS dotted
-FROM vals
+FROM _list_vals
 LATERAL VIEW explode(array_distinct(array(folded, regexp_replace(folded, '^([^,]*),(.*)$', '$2 $1')))) a AS f1
 LATERAL VIEW explode(array_distinct(array(f1, regexp_replace(f1, '[(].*$| [^ ]*[)]', ' ')))) b AS f2
 LATERAL VIEW explode(array_distinct(array(f2, regexp_replace(f2, '^.*[/:]', ''),
@@ -61,11 +61,11 @@ WHERE length(regexp_replace(f5, '[^a-z0-9]+', '')) > 0
 _MATCH = """
 WITH grams AS (
   SELECT v, form, dotted, p AS at, substring(form, p, n) AS g
-  FROM shapes LATERAL VIEW explode(sequence(1, length(form))) s AS p LATERAL VIEW explode({lens}) l AS n
+  FROM _list_shapes LATERAL VIEW explode(sequence(1, length(form))) s AS p LATERAL VIEW explode({lens}) l AS n
   WHERE p + n - 1 <= length(form)
 ), pairs AS (
   SELECT /*+ BROADCAST(r) */ DISTINCT g.v, g.form, r.entry_id, r.ref, r.k, r.cut_short
-  FROM grams g JOIN segs r ON g.g = r.seg AND g.at = r.at
+  FROM grams g JOIN _list_segs r ON g.g = r.seg AND g.at = r.at
    AND abs(length(g.form) - length(r.ref)) <= r.k AND (g.dotted OR NOT r.cut_short)
 ), near AS (
   SELECT v, entry_id, levenshtein(form, ref, k) AS d, length(ref) AS n, cut_short FROM pairs
@@ -84,15 +84,15 @@ def map_to_list(cells: DataFrame, entries: DataFrame, text: str = "cell") -> Dat
     spark = cells.sparkSession
     names = [c for c in entries.columns if c != "entry_id"]
     labels = entries.select("entry_id", F.explode(F.array(*names)).alias("label")).where("label IS NOT NULL")
-    labels.select("entry_id", F.lower(fold_accents(F.col("label"))).alias("folded")).createOrReplaceTempView("labels")
-    cut(spark.sql(_LABELS.format(edits=EDITS.format("ref"))), "segments").createOrReplaceTempView("segs")
-    lens = [r[0] for r in spark.sql("SELECT DISTINCT length(seg) FROM segs WHERE length(seg) > 0").collect()] or [1]
+    labels.select("entry_id", F.lower(fold_accents(F.col("label"))).alias("folded")).createOrReplaceTempView("_list_labels")
+    cut(spark.sql(_LABELS.format(edits=EDITS.format("ref"))), "segments").createOrReplaceTempView("_list_segs")
+    lens = [r[0] for r in spark.sql("SELECT DISTINCT length(seg) FROM _list_segs WHERE length(seg) > 0").collect()] or [1]
     cases = cells.where(F.col(text).rlike(r"\p{L}")).join(
         F.broadcast(labels.select(F.col("label").alias("_literal")).distinct()), F.col(text) == F.col("_literal"), "left_anti")
     distinct = cases.select(F.col(text).alias("v")).distinct()
-    distinct.select("v", F.translate(F.lower(fold_accents(F.col("v"))), "_", " ").alias("folded")).createOrReplaceTempView("vals")
+    distinct.select("v", F.translate(F.lower(fold_accents(F.col("v"))), "_", " ").alias("folded")).createOrReplaceTempView("_list_vals")
     wide = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be coalesced
-    cut(spark.sql(_SHAPES).repartition(wide), "shapes").createOrReplaceTempView("shapes")
+    cut(spark.sql(_SHAPES).repartition(wide), "shapes").createOrReplaceTempView("_list_shapes")
     best = cut(spark.sql(_MATCH.format(lens=f"array({', '.join(map(str, sorted(lens)))})")), "list-matches")
     keyed = cases.withColumnRenamed(text, "v")
     found = keyed.join(best, "v")
