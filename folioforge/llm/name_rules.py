@@ -32,6 +32,7 @@ SHORT_FORMS |= {
     "wiktorek": "wiktor", "wilma": "wilhelmina", "minna": "wilhelmina", "mina": "wilhelmina", "wladek": "wladyslaw", "wojtek": "wojciech", "zach": "zachary", "zack": "zachary", "zbyszek": "zbigniew", "zosia": "zofia", "zoska": "zofia", "zuzia": "zuzanna",
     "zuza": "zuzanna", "zygmus": "zygmunt", "zyga": "zygmunt",
 }
+GIVEN_NAMES = frozenset(SHORT_FORMS) | frozenset(SHORT_FORMS.values())
 # Short forms of words in the names of bodies.
 SHORT_FORMS |= {"br": "bractwo", "tow": "towarzystwo", "prac": "pracownia", "sp": "spolka", "kol": "kolektyw", "red": "redakcja", "zb": "zbiorowa", "aut": "autorska", "zesp": "zespol", "natka": "natalia", "zuzka": "zuzanna"}
 # Short forms of two names; each is tried.
@@ -97,6 +98,21 @@ def given_likeness(x: str, y: str, common: frozenset, most: int) -> float:
     return 0.0
 
 
+def deletions(word: str) -> set[str]:
+    """The word and, from 5 letters, what is left without one of them: words of one edit share one of these."""
+    return {word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) > 4 else set())
+
+
+def given_keys(x: str) -> set[tuple[str, bool]]:
+    """(key, whole): two given names that can be one (one edit allowed) share a key which is whole for one of them at least."""
+    keys = {("<" + x[:i], i == len(x)) for i in range(1, len(x) + 1)}
+    for full in full_forms(x):
+        keys.add(("~" + full, True))
+        if len(full) > 2:
+            keys |= {("~" + full[:i] + full[i + 1 :], True) for i in range(len(full))}
+    return keys
+
+
 def family_likeness(x: str, y: str, common: frozenset, most: int) -> float:
     """Likeness of two rare name words; common words are never family names."""
     if x in common or y in common or min(len(x), len(y)) < 3:

@@ -5,8 +5,10 @@ Every name is a set of folded words. Its vector has the padded character
 each whole word; a feature's weight is its squared inverse document frequency
 less that of a feature in ``COMMON`` of all names, so what is common weighs
 nothing and never enters the join. The join multiplies the inverted lists of
-the remaining features and sums the products. Of the pairs above ``COSINE`` the
-rules (``name_rules``) accept those that can be one author's; no top-n cap is
+the remaining features and sums the products. Where a family name itself is
+that common its names meet exactly instead: by the family word, give or take one
+edit, with a key of the first given name (``given_keys``). Of the pairs above ``COSINE`` and
+of these the rules (``name_rules``) accept those that can be one author's; no top-n cap is
 set, since names of frequent families would lose true partners. Accepted links form connected
 components, and each is cut by average linkage over the likeness of all its
 pairs, so one stray link does not join two authors.
@@ -20,14 +22,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from folioforge.llm.name_rules import likeness
+from folioforge.llm.name_rules import GIVEN_NAMES, deletions, given_keys, likeness
 from folioforge.runtime import cut
 
 #: Share of names from which a feature weighs nothing, and the least such count.
 COMMON, LEAST = 0.0004, 24
-#: Share of names from which a word counts as a common given name; at most words-per-name / share of them.
+#: Share of names from which a word that does not stand as a family name counts as a common given name; at most words-per-name / share of them.
 GIVEN = 0.0008
 COSINE = 0.25
 LINKED = 0.45
@@ -61,11 +63,45 @@ def cosine_pairs(vec: DataFrame, least: float = COSINE) -> DataFrame:
     )
 
 
-def common_words(names: DataFrame) -> frozenset:
-    """Words of many names; their number is bounded by words per name over ``GIVEN``."""
+def frequent_words(names: DataFrame) -> tuple[frozenset, list[str]]:
+    """Common given names (or words of bodies' names), and the family names whose features weigh nothing.
+
+    A frequent word is a family name if it mostly stands first or last, and last
+    more often than first; where both are as frequent, if no list has it as a given name.
+    Both numbers are bounded by words per name over ``GIVEN`` and ``COMMON``.
+    """
     n = names.count()
-    words = names.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return frozenset(r["w"] for r in words.where(F.col("n") > max(8, GIVEN * n)).select("w").collect())
+    at = names.where("size(words) > 1").select(F.posexplode("words").alias("i", "w"), F.size("words").alias("k"))
+    lone = names.where("size(words) = 1").select(F.lit(-1).alias("i"), F.col("words")[0].alias("w"), F.lit(1).alias("k"))
+    words = at.unionByName(lone).groupBy("w").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("i") == 0).alias("first"), F.count_if(F.col("i") == F.col("k") - 1).alias("last"))
+    known = words.where(F.col("n") > min(max(8, GIVEN * n), max(LEAST, COMMON * n))).collect()
+    family = {r["w"] for r in known if len(r["w"]) > 2 and 2 * (r["first"] + r["last"]) > r["n"]
+              and (r["last"] > r["first"] or r["last"] == r["first"] and r["w"] not in GIVEN_NAMES)}
+    given = frozenset(r["w"] for r in known if r["n"] > max(8, GIVEN * n) and r["w"] not in family)
+    return given, sorted(r["w"] for r in known if r["n"] > max(LEAST, COMMON * n) and r["w"] in family)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("whole", T.BooleanType())])))
+def _given_keys(words: pa.Array) -> pa.Array:
+    return pa.array([[{"key": k, "whole": w} for k, w in given_keys(x)] for x in words.to_pylist()],
+                    pa.list_(pa.struct([("key", pa.string()), ("whole", pa.bool_())])))
+
+
+def family_pairs(names: DataFrame, heavy: list[str]) -> DataFrame:
+    """(a, b), a < b, of all names the rules can accept by one of the ``heavy`` family names or a word one edit from it."""
+    near = F.broadcast(names.sparkSession.createDataFrame([(h, v) for h in heavy for v in deletions(h)], "h string, v string"))
+    ends = names.where("size(words) > 1").select("id", F.explode(F.expr(
+        "array(struct(words[size(words) - 1] AS f, words[0] AS g), struct(words[0] AS f, words[1] AS g))")).alias("e")).select("id", "e.f", "e.g")
+    less = F.expr("array_union(array(f), if(length(f) < 5, array(), transform(sequence(1, length(f)), i -> concat(substring(f, 1, i - 1), substring(f, i + 1)))))")
+    kin = ends.select("f").distinct().select("f", F.explode(less).alias("v")).join(near, "v").select("f", "h").distinct()
+    rows = cut(ends.join(kin, "f").select("h", "g", "id").distinct(), "family-names")
+    keyed = rows.select("h", "g").distinct().select("h", "g", F.explode(_given_keys("g")).alias("k")).select("h", "g", "k.key", "k.whole")
+    met = keyed.where("whole").select("h", "key", F.col("g").alias("ga")).join(keyed.select("h", "key", F.col("g").alias("gb")), ["h", "key"])
+    met = met.select("h", F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
+    pairs = met.join(rows.select("h", F.col("g").alias("ga"), F.col("id").alias("x")), ["h", "ga"]).join(
+        rows.select("h", F.col("g").alias("gb"), F.col("id").alias("y")), ["h", "gb"])
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def accept(pairs: DataFrame, common: frozenset) -> DataFrame:
@@ -163,7 +199,9 @@ def link_names(names: DataFrame) -> DataFrame:
     """(id, author) of every name that has a variant; ``names`` has id (long) and name (folded words)."""
     known = names.withColumn("words", F.split("name", " "))
     pairs = cosine_pairs(cut(vectors(known), "vectors"))
-    common = common_words(known)
+    common, heavy = frequent_words(known)
+    if heavy:
+        pairs = pairs.select("a", "b").union(family_pairs(known, heavy)).distinct()
     named = (
         pairs.join(known.select(F.col("id").alias("a"), F.col("name").alias("na")), "a")
         .join(known.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
