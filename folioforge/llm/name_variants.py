@@ -33,7 +33,7 @@ COMMON, LEAST = 0.0004, 24
 GIVEN = 0.0008
 COSINE = 0.25
 LINKED = 0.45
-#: Components up to this many names compare all pairs, larger ones their links only.
+#: Components up to this many names are compared in the task that clusters them, larger ones by blocks of so many names.
 ALL_PAIRS = 300
 
 
@@ -104,14 +104,14 @@ def family_pairs(names: DataFrame, heavy: list[str]) -> DataFrame:
     return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def accept(pairs: DataFrame, common: frozenset) -> DataFrame:
-    """Pairs (a, b, wa, wb) whose word lists the rules accept, with ``score``."""
+def accept(pairs: DataFrame, common: frozenset, most: int = 1, least: float = LINKED) -> DataFrame:
+    """Pairs (a, b, na, nb) whose names are alike by ``least`` with ``most`` edits a word, with ``score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            score = [likeness(x.split(), y.split(), common) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            keep = [i for i, s in enumerate(score) if s >= LINKED]
+            score = [likeness(x.split(), y.split(), common, most) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = [i for i, s in enumerate(score) if s >= least]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()),
                                               pa.array([score[i] for i in keep], pa.float64())], ["a", "b", "score"])
 
@@ -140,34 +140,62 @@ def average_linkage(n: int, sim: dict[tuple[int, int], float], least: float) ->
     total: dict[int, dict[int, float]] = {i: {} for i in range(n)}
     for (i, j), s in sim.items():
         total[i][j] = total[j][i] = s
-    label = list(range(n))
-    while True:
-        best = max(((t / (size[i] * size[j]), -i, -j) for i in total for j, t in total[i].items() if i < j), default=None)
-        if best is None or best[0] < least:
-            return label
-        i, j = -best[1], -best[2]
+    into = list(range(n))
+
+    def closest(i: int) -> tuple[float, int]:
+        return max(((t / (size[i] * size[j]), -j) for j, t in total[i].items() if j > i), default=(-1.0, 0))
+
+    near = {i: closest(i) for i in range(n)}
+    while near:
+        mean, ni, nj = max((v[0], -i, v[1]) for i, v in near.items())
+        i, j = -ni, -nj
+        if mean < least:
+            break
+        near.pop(j)
         for k, t in total.pop(j).items():
             total[k].pop(j)
             if k != i:
                 total[i][k] = total[k][i] = total[i].get(k, 0.0) + t
         size[i] += size.pop(j)
-        label = [i if c == j else c for c in label]
+        into[j] = i
+        for k in (i, *total[i]):
+            near[k] = closest(k)
+    for i in range(n):
+        into[i] = into[into[i]]
+    return into
 
 
 def _clusters(rows: list[tuple], common: frozenset) -> list[int]:
-    """Cluster label of each (id, name, links) row of one component."""
-    at = {r[0]: i for i, r in enumerate(rows)}
-    words = [r[1].split() for r in rows]
+    """Cluster label of each (id, name, alike) row of one component; ``alike`` where the pairs were compared before."""
     if len(rows) == 2:
         return [0, 0]
-    if len(rows) <= ALL_PAIRS:
-        sim = {(i, j): s for i in range(len(rows)) for j in range(i + 1, len(rows)) if (s := likeness(words[i], words[j], common, 2)) > 0}
+    if any(r[2] for r in rows):
+        at = {r[0]: i for i, r in enumerate(rows)}
+        sim = {(i, at[x["b"]]): x["score"] for i, r in enumerate(rows) for x in r[2] or ()}
     else:
-        sim = {(min(i, at[x["b"]]), max(i, at[x["b"]])): x["score"] for i, r in enumerate(rows) for x in r[2] or ()}
+        words = [r[1].split() for r in rows]
+        sim = {(i, j): s for i in range(len(rows)) for j in range(i + 1, len(rows)) if (s := likeness(words[i], words[j], common, 2)) > 0}
     return average_linkage(len(rows), sim, LINKED)
 
 
-def cluster(members: DataFrame, links: DataFrame, common: frozenset) -> DataFrame:
+def alike_pairs(members: DataFrame, common: frozenset, most: int = ALL_PAIRS) -> DataFrame:
+    """(id, alike): the names b > id of any likeness, of each name in components of more than ``most``.
+
+    The same likeness of all pairs as in small components, a block of names
+    against the component's rest at a time. Words of two edits, a swap counting as one, are
+    within four by ``levenshtein``; pairs without such outer words have no likeness.
+    """
+    large = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("root", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    rows = cut(members.join(large, "root").withColumn("w", F.split("name", " ")), "large-components")
+    left = rows.select("root", F.expr("cast(pmod(xxhash64(id), blocks) AS int)").alias("block"), F.col("id").alias("a"), F.col("name").alias("na"), F.col("w").alias("wa"))
+    right = rows.select("root", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("id").alias("b"), F.col("name").alias("nb"), F.col("w").alias("wb"))
+    near = " OR ".join(f"levenshtein(element_at(wa, {i}), element_at(wb, {j}), 4) >= 0" for i in (1, -1) for j in (1, -1))
+    pairs = left.join(right, ["root", "block"]).where(f"a < b AND ({near})")
+    scored = accept(pairs, common, 2, 1e-9)
+    return scored.groupBy(F.col("a").alias("id")).agg(F.collect_list(F.struct("b", "score")).alias("alike"))
+
+
+def cluster(members: DataFrame, common: frozenset, most: int = ALL_PAIRS) -> DataFrame:
     """(id, author): the author cluster of each name of the components.
 
     Components come as runs of sorted rows, several to a task, one at a time.
@@ -190,8 +218,8 @@ def cluster(members: DataFrame, links: DataFrame, common: frozenset) -> DataFram
         x, y = close(rows)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["id", "author"])
 
-    tied = links.groupBy(F.col("a").alias("id")).agg(F.collect_list(F.struct("b", "score")).alias("links"))
-    sorted_rows = members.join(tied, "id", "left").select("root", "id", "name", "links").repartition("root").sortWithinPartitions("root", "id")
+    tied = alike_pairs(members, common, most)
+    sorted_rows = members.join(tied, "id", "left").select("root", "id", "name", "alike").repartition("root").sortWithinPartitions("root", "id")
     return sorted_rows.mapInArrow(run, "id long, author long")
 
 
@@ -208,5 +236,5 @@ def link_names(names: DataFrame) -> DataFrame:
     )
     links = cut(accept(named, common), "name-links")
     roots = components(links)
-    members = roots.join(known.select("id", "name"), "id")
-    return cluster(members, links, common)
+    members = cut(roots.join(known.select("id", "name"), "id"), "members")
+    return cluster(members, common)

@@ -2,8 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioforge.llm.name_rules import edits, full_forms as full, given_keys, given_likeness
-from folioforge.llm.name_variants import frequent_words, link_names
+from folioforge.llm.name_rules import edits, full_forms as full, given_keys, given_likeness, likeness
+from folioforge.llm.name_variants import LINKED, average_linkage, frequent_words, link_names
 
 
 def test_frequent_families_are_linked(spark):
@@ -30,3 +30,44 @@ def test_given_keys_meet_where_names_agree():
             if given_likeness(x, y, frozenset(), 1) and not own:
                 kx, ky = dict(sorted(given_keys(x))), dict(sorted(given_keys(y)))
                 assert any(kx[k] or ky[k] for k in kx.keys() & ky.keys()), (x, y)
+
+
+def greedy(n, sim, least):
+    """Average linkage as defined: over all pairs of clusters, at each step."""
+    label = list(range(n))
+    while True:
+        total, size = {}, {c: label.count(c) for c in label}
+        for (i, j), s in sim.items():
+            if label[i] != label[j]:
+                k = (min(label[i], label[j]), max(label[i], label[j]))
+                total[k] = total.get(k, 0.0) + s
+        best = max(((t / (size[i] * size[j]), -i, -j) for (i, j), t in total.items()), default=(-1, 0, 0))
+        if best[0] < least:
+            return label
+        label = [-best[1] if c == -best[2] else c for c in label]
+
+
+def test_average_linkage_equals_its_definition():
+    rng = random.Random(9)
+    for n in (1, 2, 5, 12, 25):
+        for _ in range(12):
+            sim = {(i, j): rng.choice([0.25, 0.5, 0.75, 1.0]) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5}
+            assert average_linkage(n, sim, LINKED) == greedy(n, sim, LINKED)
+
+
+def test_large_components_use_the_same_likeness(spark):
+    rng = random.Random(10)
+    few = {"j kowalski"}
+    while len(few) < 330:
+        few.add("j" + "".join(rng.choice("bcdfghklm") + rng.choice("aeiou") for _ in range(4)) + " kowalski")
+    base = sorted(few)[1:7]
+    names = sorted(few) + [w for b in base for w in (b[:3] + "xq" + b[5:], b[:3] + "xq" + b[5:9] + " kowalski", b[:4] + "x" + b[5:])]
+    names = sorted(set(names))
+    got = {r["id"]: r["author"] for r in link_names(spark.createDataFrame(list(enumerate(names)), "id long, name string")).collect()}
+    words = [n.split() for n in names]
+    inside = sorted(got)
+    assert len(inside) > 300
+    common = frozenset()
+    sim = {(x, y): s for x in range(len(inside)) for y in range(x + 1, len(inside)) if (s := likeness(words[inside[x]], words[inside[y]], common, 2)) > 0}
+    want = average_linkage(len(inside), sim, LINKED)
+    assert [got[i] for i in inside] == [inside[c] for c in want]
