@@ -5,12 +5,14 @@ is the Poisson quantile at u for its source's rate, capped at the source's
 ``max_repeats``. The rate starts from the target repetition rate and is settled
 on the data: the count of every document grows with the rate, so a histogram of
 tokens over rates (a few thousand sums per source, refined twice) shows the rate
-at which the source's tokens meet their target. The mixture is as large as the
-scarcest source allows at ``REACH`` of its capped tokens.
+at which the source's tokens meet their target. The mixture's size is given, or
+the largest at which every well-stocked source meets its share at ``REACH`` of
+its capped tokens. A source that can't reach its share stops at ``max_repeats``
+of each document, and ``mixture_shares`` has its actual share.
 
 Defined results: documents of a source without a target, with NULL source or id
 or without tokens are left out; a target source without documents has actual
-share 0 and does not bind the total; equal ids in one source share their u.
+share 0 and does not bind the size; equal ids in one source share their u.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 REACH = 0.95
+#: A source is well-stocked if it allows this part at least of the size that sources of half the target shares allow.
+STOCKED = 0.1
 BINS = 2048
 LOW, HIGH = 1e-4, 80.0
 
@@ -81,11 +85,26 @@ def settle_rates(docs: DataFrame, targets: dict[str, float], caps: dict[str, int
     return rates
 
 
-def draw_mixture(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = 17) -> DataFrame:
+def default_size(have: dict[str, float], want: dict[str, tuple[float, int]]) -> float:
+    """Tokens of the mixture from the well-stocked of the sources ``want`` (share, cap), given the tokens they ``have``."""
+    allows = sorted((REACH * cap * have.get(s, 0.0) / share, share) for s, (share, cap) in want.items())
+    some = [x for x, _ in allows if x > 0]
+    if not some:
+        return 0.0
+    half, usual = sum(share for _, share in allows) / 2, 0.0
+    for x, share in allows:
+        usual, half = x, half - share
+        if half <= 0:
+            break
+    return min(x for x in some if x >= STOCKED * usual)
+
+
+def draw_mixture(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = 17, size: float | None = None) -> DataFrame:
     """(id_col, source, tokens, copy_no, mix_key), in global random order by ``mix_key``.
 
     ``sized`` has the id, ``source`` and ``tokens``; ``targets`` is the short list
-    (source, target_share, max_repeats).
+    (source, target_share, max_repeats); ``size`` is the tokens of the mixture
+    that the shares are of, ``default_size`` if not given.
     """
     spark = sized.sparkSession
     want = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.where(
@@ -93,10 +112,13 @@ def draw_mixture(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", s
     docs = sized.where(F.col("source").isin(list(want)) & F.col(id_col).isNotNull() & (F.col("tokens") > 0)).select(
         id_col, "source", F.col("tokens").cast("long").alias("tokens"), uniform(id_col, seed).alias("u"))
     have = {r["source"]: float(r["t"]) for r in docs.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    total = min((REACH * cap * have[s] / share for s, (share, cap) in want.items() if s in have), default=0.0)
+    total = default_size(have, want) if size is None else size
     caps = {s: want[s][1] for s in have}
-    rates = settle_rates(docs, {s: total * want[s][0] for s in have}, caps) if have else {}
+    short = [s for s in have if total * want[s][0] >= caps[s] * have[s]]
+    enough = docs.where(~F.col("source").isin(short)) if short else docs
+    rates = settle_rates(enough, {s: total * want[s][0] for s in have if s not in short}, caps) if len(short) < len(have) else {}
     steps = [(s, [float(poisson_cdf(k, np.array([rates[s]]))[0]) for k in range(caps[s])]) for s in rates]
+    steps += [(s, [0.0] * caps[s]) for s in short]
     known = F.broadcast(spark.createDataFrame(steps, "source string, steps array<double>"))
     counted = docs.join(known, "source").withColumn("n", F.size(F.filter("steps", lambda p: p < F.col("u")))).where("n > 0")
     copies = counted.select(id_col, "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
