@@ -146,16 +146,21 @@ def _tree(v: np.ndarray, weight: list[np.ndarray]) -> np.ndarray:
     return parent
 
 
-def link_works(books: DataFrame, guesses: DataFrame, online: DataFrame) -> DataFrame:
-    """(book_id, online_id, votes..., confidence) of every candidate pair."""
-    spark = books.sparkSession
+def blocked(books: DataFrame, guesses: DataFrame, online: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The claims of both sides and the pairs (book_id, online_id) worth a vote."""
     held = guesses.where("series is not null").groupBy("book_id").agg(F.collect_set("series").alias("g"))
     b = books.select("book_id", _book("title", "stem", "creators", "identifiers", "meta_series", "meta_volume").alias("c"))
     b = cut(b.join(held, "book_id", "left").select(F.col("book_id").alias("id"), "c", _series_keys("g").alias("g")), "books")
     o = cut(online.select(F.col("online_id").alias("id"), _online("title", "authors", "identifiers", "series", "volume").alias("c")), "online")
     titles = b.select("c.titles").union(o.select("c.titles"))
     df = cut(titles.select(F.explode(F.array_distinct(F.split(F.array_join("titles", " "), " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")), "title-words")
-    pairs = candidates(b, o, df)
+    return b, o, candidates(b, o, df)
+
+
+def link_works(books: DataFrame, guesses: DataFrame, online: DataFrame) -> DataFrame:
+    """(book_id, online_id, votes..., confidence) of every candidate pair."""
+    spark = books.sparkSession
+    b, o, pairs = blocked(books, guesses, online)
     voted = (
         pairs.join(b.select(F.col("id").alias("book_id"), F.col("c").alias("bc"), "g"), "book_id")
         .join(o.select(F.col("id").alias("online_id"), F.col("c").alias("oc")), "online_id")

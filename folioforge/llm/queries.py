@@ -8,13 +8,14 @@ from folioforge.functions.folding import author_key, match_key
 from folioforge.llm.canonical_list import map_to_list
 from folioforge.llm.containers import fill_containers
 from folioforge.llm.layout_copies import layout_copies
-from folioforge.llm.linkage import link_works, matches
+from folioforge.llm.linkage import blocked, link_works, matches
 from folioforge.llm.lookalikes import SUSPECT, clean_cells, mapped
 from folioforge.llm.mixture import draw_mixture, mixture_shares
 from folioforge.llm.name_variants import link_names
 from folioforge.llm.quality import page_quality
 from folioforge.llm.survivors import ranked_values, survivors
 from folioforge.llm.tokens import TOKENIZER, token_counts
+from folioforge.operators import online
 from folioforge.operators.packed import PEOPLE, items_of
 from folioforge.runtime import cut, table
 
@@ -110,6 +111,14 @@ def p7_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _works(spark, d)
 
 
+def online_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Ranking ladder over all candidate pairs of book and online rows and those of an equal book number or title."""
+    books, found = table(spark, d, "books"), table(spark, d, "online_candidates")
+    near = blocked(books, table(spark, d, "candidates"), found)[2]
+    pairs = cut(near.union(online.equal_pairs(books, found)).distinct(), "rank-pairs")
+    return online.rank_pairs(pairs, books, found)
+
+
 def p8_containers(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Container and place of every document, for each capacity."""
     sized = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", path=tokenizer), "tokens")
@@ -153,7 +162,7 @@ def p10_distance(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_survivors, p4_found, p4_collapsed, p5_found, p6_found, p7_found, p7_confidence, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_distance)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_survivors, p4_found, p4_collapsed, p5_found, p6_found, p7_found, p7_confidence, online_rank, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_distance)}
 
 ORACLES = {
     "p3_found": " UNION ALL ".join(f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioforge.functions.text import clean, extract_isbns, key_of, last_first, match_text
+from folioforge.functions.text import clean, extract_isbns, key_of, last_first, match_text, most_alike, similarity, split_authors
 
 CONSENSUS_BONUS, MARGIN, AMBIGUOUS_COST = 25, 25, 10
 
@@ -29,6 +29,32 @@ def rank_ladder(isbn_hit: Column, title_equal: Column, author_equal: Column, tit
     )
 
 
+def known_title(books: DataFrame) -> Column:
+    """A book's title, its core where it has none."""
+    return F.coalesce(F.nullif(books["title"], F.lit("")), books["core"])
+
+
+def equal_pairs(books: DataFrame, online: DataFrame) -> DataFrame:
+    """(book_id, online_id) of the rows that share a book number or a title's match text: all pairs of the exact rungs."""
+    numbers = F.transform(extract_isbns(F.coalesce("identifiers", F.array())), lambda n: F.concat(F.lit("#"), n))
+    keys = lambda df, key, title: df.select(key, F.explode(F.array_append(numbers, match_text(title))).alias("key")).where("key <> ''")
+    return keys(books, "book_id", known_title(books)).join(keys(online, "online_id", online["title"]), "key").select("book_id", "online_id").distinct()
+
+
+def rank_pairs(pairs: DataFrame, books: DataFrame, online: DataFrame) -> DataFrame:
+    """(book_id, online_id, score, reason) of each pair by the ladder; a book without title is known by its core."""
+    of = lambda title, people: (
+        clean(title).alias("t"), match_text(title).alias("m"), author_match_keys(people).alias("a"), extract_isbns(F.coalesce("identifiers", F.array())).alias("n"))
+    people = F.flatten(F.transform(F.coalesce("creators", F.array()), split_authors))
+    b = books.select("book_id", F.struct(*of(known_title(books), people)).alias("b"))
+    o = online.select("online_id", F.struct(*of(F.col("title"), F.coalesce("authors", F.array()))).alias("o"))
+    met = pairs.join(b, "book_id").join(o, "online_id").select(
+        "book_id", "online_id", F.arrays_overlap("b.n", "o.n").alias("hit"), ((F.col("b.t") != "") & (F.col("b.m") == F.col("o.m"))).alias("title_equal"),
+        F.arrays_overlap("b.a", "o.a").alias("author_equal"), similarity(F.col("b.t"), F.col("o.t")).alias("title_sim"), most_alike(F.col("b.a"), F.col("o.a")).alias("author_sim"))
+    r = rank_ladder(*map(F.col, ("hit", "title_equal", "author_equal", "title_sim", "author_sim")))
+    return met.select("book_id", "online_id", r.alias("r")).select("book_id", "online_id", "r.score", "r.reason")
+
+
 def confidence_of(score: Column) -> Column:
     return F.when(score >= 420, 78).when(score >= 320, 72).when(score >= 250, 66).when(score >= 180, 60).otherwise(54)
 
@@ -58,4 +84,4 @@ def early_stop(rows: DataFrame, group: str, rank: str, strong: Column) -> DataFr
     return rows.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col(rank) <= F.col("_stop"))).drop("_stop")
 
 
-__all__ = ["ambiguity", "author_match_keys", "clean", "confidence_of", "consensus", "early_stop", "key_of", "rank_ladder"]
+__all__ = ["ambiguity", "author_match_keys", "clean", "confidence_of", "consensus", "early_stop", "equal_pairs", "key_of", "rank_ladder", "rank_pairs"]

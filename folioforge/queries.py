@@ -188,20 +188,6 @@ def online_confidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "online_candidates").select("online_id", online.confidence_of(F.col("score")).alias("confidence"))
 
 
-@query()
-def online_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Ranking ladder over the online rows that share a book number with a book."""
-    def side(name: str, key: str, people: str, x: str) -> DataFrame:
-        held = table(spark, d, name).select(key, F.col("title").alias(f"{x}t"), t.match_text(F.col("title")).alias(f"{x}m"),
-                                            online.author_match_keys(F.coalesce(people, F.array())).alias(f"{x}a"), F.coalesce("identifiers", F.array()).alias("ids"))
-        return held.select("*", F.explode(t.extract_isbns(F.col("ids"))).alias("isbn")).drop("ids")
-
-    p = side("books", "book_id", "creators", "b").join(side("online_candidates", "online_id", "authors", "o"), "isbn").dropDuplicates(["book_id", "online_id"])
-    same = F.coalesce(F.arrays_overlap("ba", "oa"), F.lit(False))
-    r = online.rank_ladder(F.lit(False), F.col("bm") == F.col("om"), same, t.similarity(F.col("bt"), F.col("ot")), same.cast("double"))
-    return p.select("book_id", "online_id", r.alias("r")).select("book_id", "online_id", "r.score", "r.reason")
-
-
 @query()
 def online_consensus(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "online_candidates").select("online_id", "provider", "title", F.coalesce("authors", F.array()).alias("authors"), F.coalesce("identifiers", F.array()).alias("identifiers"), "score", "reason")
