@@ -33,8 +33,8 @@ def ranked_values(rows: DataFrame, key: str, row_id: str, fields: list[str], ord
     """(key, field, row_id, value) of the row that wins each field by ``order``.
 
     ``order`` is a list of expressions over ``rows``, smallest first; row ids end
-    ties. Only groups of at least ``least`` rows count. Here a value's vote is its
-    best row's rank, so no sum over rows can outweigh a more trusted source.
+    ties. Only groups of at least ``least`` rows count. This is an ordered minimum, not
+    a vote: no sum over rows can outweigh a more trusted source.
     """
     extra = {f"_o{i}": c for i, c in enumerate(order)}
     long = unpivot_fields(rows, key, row_id, fields, extra)
