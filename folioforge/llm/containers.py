@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from folioforge.runtime import short_list
+
 SHARD_DOCS = 20_000
 GROUPS = 18
 LARGE = 1 / 8
@@ -136,7 +138,7 @@ def fill_containers(sized: DataFrame, kinds: DataFrame, id_col: str = "doc_id",
         out.insert(1, "capacity", int(cap))
         return out
 
-    listed = kinds.where("capacity_tokens > 0").select("container", "capacity_tokens").limit(1000).collect()
+    listed = short_list(kinds.where("capacity_tokens > 0").select("container", "capacity_tokens"), 1000, "container kinds")
     caps = F.array(*[F.struct(F.lit(r[0]).alias("container"), F.lit(int(r[1])).alias("capacity")) for r in listed])
     rows = sized.select(F.col(id_col).alias("doc_id"), F.col("tokens").cast("long"),
                         F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(shards)), F.lit(0)).cast("int").alias("shard"))

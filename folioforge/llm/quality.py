@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioforge.llm.page_stats import NAMES, page_stats
-from folioforge.runtime import cut
+from folioforge.runtime import cut, short_list
 
 K = len(NAMES)
 #: 0.999 quantile of chi-square with as many degrees as statistics (16).
@@ -35,7 +35,7 @@ AT = {n: i for i, n in enumerate(NAMES)}
 def statistics(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, language, statistics...) of each page; ``words`` is the fixed list of function words."""
     stop: dict[str, set] = {}
-    for lang, word in words.where("word is not null and lang is not null").select("lang", "word").limit(100_000).collect():
+    for lang, word in short_list(words.where("word is not null and lang is not null").select("lang", "word"), 100_000, "function words"):
         stop.setdefault(lang, set()).add(word.lower())
     frozen = {k: frozenset(v) for k, v in stop.items()}
     id_type = docs.schema[id_col].dataType
