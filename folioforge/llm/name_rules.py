@@ -16,7 +16,7 @@ SHORT_FORMS = {
     "eva": "evangeline", "evie": "evangeline", "fela": "felicja", "felek": "feliks", "ferdek": "ferdinand", "ferdy": "ferdinand", "filek": "filip", "flo": "florence", "florrie": "florence",
     "franka": "franciszka", "frania": "franciszka", "fred": "frederick", "freddie": "frederick", "fritz": "friedrich", "genia": "genowefa", "gienia": "genowefa", "gerd": "gerhard", "friedl": "gottfried",
     "grazka": "grazyna", "grzes": "grzegorz", "grzesiek": "grzegorz", "gucia": "augusta", "gwen": "gwendolyn", "halinka": "halina", "hala": "halina", "heini": "heinrich", "heinz": "heinrich",
-    "hela": "helena", "helenka": "helena", "etta": "henrietta", "hetty": "henrietta", "heniek": "henryk", "henio": "henryk", "hirek": "hieronim", "hubi": "hubert", "ignas": "ignacy", "irka": "irena", "bella": "isabella",
+    "hela": "helena", "helenka": "helena", "etta": "henrietta", "hattie": "henrietta", "hetty": "henrietta", "heniek": "henryk", "henio": "henryk", "hirek": "hieronim", "hubi": "hubert", "ignas": "ignacy", "irka": "irena", "bella": "isabella",
     "iwonka": "iwona", "jadzia": "jadwiga", "janek": "jan", "jas": "jan", "jarek": "jaroslaw", "jurek": "jerzy", "asia": "joanna", "joasia": "joanna", "jola": "jolanta", "jon": "jonathan", "jonty": "jonathan",
     "josie": "josephine", "jo": "josephine", "julka": "julia", "justynka": "justyna", "karolek": "karol", "kacper": "kasper", "kasia": "katarzyna", "kaska": "katarzyna", "kazik": "kazimierz", "kazio": "kazimierz",
     "kordzik": "konrad", "konradek": "konrad", "krysia": "krystyna", "kryska": "krystyna", "krzysiek": "krzysztof", "krzys": "krzysztof", "leszek": "lech", "leo": "leopold", "poldek": "leopold", "lusia": "lucja", "lucia": "lucja", "ludka": "ludwika",
@@ -80,7 +80,8 @@ def given_likeness(x: str, y: str, common: frozenset, most: int) -> float:
     if x == y:
         return 1.0
     if len(x) == 1 or len(y) == 1:
-        return 0.75 if x[0] == y[0] else 0.0
+        letter, name = (x, y) if len(x) == 1 else (y, x)
+        return 0.75 if any(f[0] == letter for f in full_forms(name)) else 0.0
     if full_forms(x) & full_forms(y):
         return 0.9
     if x in common and y in common:
@@ -107,7 +108,7 @@ def given_keys(x: str) -> set[tuple[str, bool]]:
     """(key, whole): two given names that can be one (one edit allowed) share a key which is whole for one of them at least."""
     keys = {("<" + x[:i], i == len(x)) for i in range(1, len(x) + 1)}
     for full in full_forms(x):
-        keys.add(("~" + full, True))
+        keys |= {("~" + full, True), ("<" + full[0], len(x) == 1)}
         if len(full) > 2:
             keys |= {("~" + full[:i] + full[i + 1 :], True) for i in range(len(full))}
     return keys

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from folioforge.llm import layout_copies as lc
 from folioforge.llm.canonical_list import map_to_list
 from folioforge.llm.containers import fill_containers, pack
-from folioforge.llm.linkage import learn, link_works, matches
 from folioforge.llm.lookalikes import clean_cells
 from folioforge.llm.mixture import draw_mixture, mixture_shares, poisson_cdf, settle_rates, uniform
 from folioforge.llm.name_rules import edits, likeness
@@ -116,28 +115,6 @@ def test_components(spark):
     assert {r["id"]: r["root"] for r in components(links).collect()} == {**{i: 1 for i in range(1, 10)}, 20: 20, 21: 20}
 
 
-def test_label_model_finds_the_matches():
-    rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.2
-    v = np.where(rng.random((4000, 9)) < 0.85, np.where(y[:, None], 1, -1), 0)
-    pats, inv, n = np.unique(v, axis=0, return_inverse=True, return_counts=True)
-    post = learn(pats, n.astype(float))[inv.ravel()]
-    assert ((post > 0.5) == y).mean() > 0.99
-    assert len(learn(np.zeros((0, 9), int), np.zeros(0))) == 0
-
-
-def test_works(spark):
-    vol = "struct<major:int,minor:string>"
-    books = spark.createDataFrame([("b1", "x", "Lekki złłodziej", ["G. Gatulalal"], None, "Jasny", (4, "00")), ("b2", "Lekki sklep - Jan Kot", None, None, [None], None, None), ("b3", "y", "Szkola 1", ["Ewa Lis"], None, "Szkola", (1, "00"))],
-        f"book_id string, stem string, title string, creators array<string>, identifiers array<string>, meta_series string, meta_volume {vol}")
-    online = spark.createDataFrame([(1, "Jasny 4: Lekki złodziej", ["Gustaw Gatulalal"], None, "Jasny", (4, "00")), (2, "Szkola 2", ["Ewa Lis"], [], "Szkola", (2, "00")), (3, "", [], None, None, None)],
-        f"online_id long, title string, authors array<string>, identifiers array<string>, series string, volume {vol}")
-    guesses = spark.createDataFrame([("b1", None)], "book_id string, series string")
-    got = {(r["book_id"], r["online_id"]) for r in matches(link_works(books, guesses, online), 0.0).collect()}
-    assert ("b1", 1) in got and ("b3", 2) not in got
-    assert link_works(books.limit(0), guesses, online).count() == 0
-
-
 def test_pack_places_every_token_once():
     rng = random.Random(5)
     for cap in (1, 7, 100):
@@ -159,7 +136,7 @@ def test_containers(spark):
     sized = spark.createDataFrame([(i, i % 40) for i in range(500)], "doc_id long, tokens long")
     kinds = spark.createDataFrame([("s", 50), ("m", 200)], "container string, capacity_tokens int")
     got = fill_containers(sized, kinds, shard_docs=200)
-    assert got.groupBy("container").agg(F.sum("tokens").alias("t"), F.countDistinct("doc_id").alias("n")).where("t = 9540 or true").count() == 2
+    assert got.groupBy("container").agg(F.sum("tokens").alias("t"), F.countDistinct("doc_id").alias("n")).count() == 2
     assert {(r["container"], r["t"], r["n"]) for r in got.groupBy("container").agg(F.sum("tokens").alias("t"), F.countDistinct("doc_id").alias("n")).collect()} == {("s", sum(i % 40 for i in range(500)), 500), ("m", sum(i % 40 for i in range(500)), 500)}
     assert got.groupBy("bin").agg(F.sum("tokens").alias("t"), F.first("capacity").alias("c")).where("t > c").count() == 0
     assert fill_containers(sized.limit(0), kinds).count() == 0
