@@ -54,12 +54,13 @@ def vectors(names: DataFrame) -> DataFrame:
 
 def cosine_pairs(vec: DataFrame, least: float = COSINE) -> DataFrame:
     """(a, b, cosine) of the pairs that share weighted features, a < b."""
+    # products in whole millionths: exact sums in any order, and less to shuffle
     left = vec.select("feature", F.col("id").alias("a"), F.col("w").alias("wa"))
     right = vec.select("feature", F.col("id").alias("b"), F.col("w").alias("wb"))
     return (
         left.join(right, "feature").where("a < b")
-        .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-        .where(F.col("cosine") >= least)
+        .groupBy("a", "b").agg(F.sum(F.round(F.col("wa") * F.col("wb") * 1e6).cast("long")).alias("dot"))
+        .select("a", "b", (F.col("dot") / 1e6).alias("cosine")).where(F.col("cosine") >= least)
     )
 
 
@@ -219,7 +220,7 @@ def cluster(members: DataFrame, common: frozenset, most: int = ALL_PAIRS) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["id", "author"])
 
     tied = alike_pairs(members, common, most)
-    sorted_rows = members.join(tied, "id", "left").select("root", "id", "name", "alike").repartition("root").sortWithinPartitions("root", "id")
+    sorted_rows = members.join(tied, "id", "left").select("root", "id", "name", "alike").repartition("root").sortWithinPartitions("root", "name", "id")
     return sorted_rows.mapInArrow(run, "id long, author long")
 
 

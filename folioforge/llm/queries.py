@@ -23,26 +23,50 @@ NAME_FIELDS = ["author_raw", "author_first_last", "author_last_first"]
 
 
 def author_names(spark: SparkSession, d: str) -> DataFrame:
-    """(key, name): each author key with one folded spelling whose words make it up."""
-    plain = lambda c: F.when(F.col(c).rlike(SUSPECT), mapped(F.col(c))).otherwise(F.col(c))
-    rows = table(spark, d, "author_rows").where("group_key <> ''").select(
-        F.col("group_key").alias("key"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), plain(f).alias("v")) for i, f in enumerate(
-            ["author_first_last", "author_last_first", "author_raw"])])).alias("f"))
-    rows = rows.select("key", F.col("f.i").alias("i"), match_key(F.col("f.v")).alias("name"))
+    """(key, name): each author key with one folded spelling whose words make it up.
+
+    Of a key the fields decide in their order, then the spelling. Only distinct
+    values are folded, and a later field only for keys that no earlier one fits.
+    """
+    rows = table(spark, d, "author_rows").where("group_key <> ''").select(F.col("group_key").alias("key"), "author_first_last", "author_last_first", "author_raw")
     cells = table(spark, d, "books").select(F.explode("creators").alias("cell")).where("cell is not null").distinct()
     single = cells.where(F.size(items_of(F.col("cell"), PEOPLE)) == 1)
-    held = single.select(author_key(F.col("cell")).alias("key"), F.lit(3).alias("i"), match_key(F.col("cell")).alias("name"))
-    fits = F.when(F.regexp_replace("name", " ", "") == F.col("key"), F.struct("i", "name"))
-    named = rows.unionByName(held).where("key <> ''").groupBy("key").agg(F.min(fits).alias("best"))
-    return named.select("key", F.coalesce("best.name", "key").alias("name"))
+    held = single.select(author_key(F.col("cell")).alias("key"), "cell").where("key <> ''")
+    values = _values(rows, ["author_first_last"])
+    first = cut(_fitting(values), "names-that-fit")
+    open_keys = cut(values.select("key").distinct().join(first, "key", "left_anti"), "keys-without-name")
+    later = _fitting(_values(rows.join(open_keys, "key", "left_semi"), ["author_last_first", "author_raw"]))
+    cells = _fitting(_values(held, ["cell"]))
+    every = first.unionByName(later).select("key", F.lit(0).alias("i"), "name").unionByName(cells.select("key", F.lit(1).alias("i"), "name"))
+    bare = open_keys.union(held.select("key").distinct()).select("key", F.lit(2).alias("i"), F.col("key").alias("name"))
+    return every.unionByName(bare).groupBy("key").agg(F.min(F.struct("i", "name")).alias("best")).select("key", "best.name")
+
+
+def _values(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Distinct (key, i, v) of the fields, NULL too. Written once: the filter on
+    the folded value would else move before the distinct and fold every row."""
+    values = rows.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).alias("v")) for i, f in enumerate(fields)])).alias("f"))
+    return cut(values.select("key", "f.i", "f.v").distinct(), "name-values")
+
+
+def _fitting(values: DataFrame) -> DataFrame:
+    """(key, name): the folded value of each key that is the key but for its blanks, of the first field that has one, the smallest."""
+    c = F.col("v")
+    # two plans: the mapping of look-alikes is far dearer than the folding
+    plain = values.where(~c.rlike(SUSPECT)).unionByName(values.where(c.rlike(SUSPECT)).withColumn("v", mapped(c)))
+    folded = plain.select("key", "i", match_key(c).alias("name"))
+    fits = folded.where(F.translate("name", " ", "") == F.col("key"))
+    return fits.groupBy("key").agg(F.min(F.struct("i", "name")).alias("best")).select("key", "best.name")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of author keys that stand for the same author."""
     keys = cut(author_names(spark, d).withColumn("form", F.array_join(F.array_sort(F.split("name", " ")), " ")), "author-keys")
-    forms = cut(keys.groupBy("form").agg(F.min("name").alias("name")).withColumn("id", F.xxhash64("form")), "forms")
+    # numbers in a fixed order; small ones travel in less room than hashes
+    forms = keys.groupBy("form").agg(F.min("name").alias("name")).sortWithinPartitions("form").withColumn("id", F.monotonically_increasing_id())
+    forms = cut(forms, "forms")
     authors = link_names(forms.select("id", "name"))
-    tied = keys.withColumn("id", F.xxhash64("form")).join(authors, "id", "left").select("key", F.coalesce("author", "id").alias("author"))
+    tied = keys.join(forms.select("form", "id"), "form").join(authors, "id", "left").select("key", F.coalesce("author", "id").alias("author"))
     tied = cut(tied, "authors")
     return tied.select(F.col("key").alias("key_a"), "author").join(tied.select(F.col("key").alias("key_b"), "author"), "author").where(
         "key_a < key_b").select("key_a", "key_b")
