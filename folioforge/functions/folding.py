@@ -57,12 +57,17 @@ def char_class(chars) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
 
 
+def text_map(pairs: dict[str, str]) -> Column:
+    """A constant map of texts as one small expression, folded to a literal before the query runs."""
+    return F.str_to_map(F.lit("\u0002".join(f"{k}\u0001{v}" for k, v in pairs.items())), F.lit("\u0002"), F.lit("\u0001"))
+
+
 def fold_accents(col: Column) -> Column:
     """Compatibility decomposition without marks, plus the stroked letters, of all
     signs whose folded form holds a plain letter or digit; others stay."""
     src, dst, many = fold_tables()
     bare = F.regexp_replace(col, r"\p{M}+", "")
-    grown = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    grown = text_map(many)
     spread = F.array_join(F.transform(F.split(bare, ""), lambda c: F.coalesce(F.element_at(grown, c), c)), "")
     full = F.translate(F.when(bare.rlike(char_class(many)), spread).otherwise(bare), src, dst)
     return F.when(col.rlike(r"[^\x00-\x7f]"), full).otherwise(col)

@@ -46,7 +46,7 @@ class Dialect:
 
 CODES = Dialect("codes", r"[|;,/+&\n\r\t；，｜]")
 PEOPLE = Dialect("people", r"[|;/+&\n\r\t；｜]|(?<=\s)(?:i|oraz|and|und|et)(?=\s)", ",")
-MAYBE_PACKED = {"codes": r"[|;,/+&\n\r\t；，｜]", "people": r"[|;/+&\n\r\t；｜,]|\s(?:i|oraz|and|und|et)\s"}
+MAYBE_PACKED = {"codes": r"[|;,/+&\n\r\t；，｜]", "people": r"(?U)[|;/+&\n\r\t；｜,]|\s(?:i|oraz|and|und|et)\s"}
 
 
 def _partners(text: str) -> dict[int, int]:

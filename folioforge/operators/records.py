@@ -1,22 +1,18 @@
-"""Records: top candidate, quality, review, names without collisions, plans, counters."""
+"""Records: quality, review, names, orders, counters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioforge.functions.text import NO_TITLE, STANDALONE, UNKNOWN_AUTHOR, filename_stem, format_volume, sanitize_component
 
 REVIEW_BELOW = 65
+# Reasons that always ask for a review.
+BLOCKING = ["online-niejednoznaczne", "online-best-effort", "nieznany-autor", "brak-tytulu", "fallback", "szum-w-tytule", "artefakt-zrodla"]
 
 
-def top_candidate(candidates: DataFrame, group: str = "book_id") -> DataFrame:
-    """Best series guess per book: score, then one with a title, then the first."""
-    w = Window.partitionBy(group).orderBy(F.desc("score"), F.col("title_override").isNull(), "pos", "series", "source")
-    return candidates.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-
-
-def finalize(author: Column, title: Column, series: Column, volume: Column, source: Column, from_core: Column, errors: Column, base: Column) -> Column:
-    """struct<confidence, reasons> after the penalties, clamped to 0..100."""
+def finalize(author: Column, title: Column, series: Column, volume: Column, source: Column, from_core: Column, errors: Column, base: Column, earlier: Column) -> Column:
+    """struct<confidence, reasons> after the penalties, clamped to 0..100; reasons follow the ``earlier`` ones, each once."""
     no_volume = volume.isNull() | ((volume["major"] == 0) & (volume["minor"] == "00"))
     rules = [
         (author == UNKNOWN_AUTHOR, 25, "nieznany-autor"),
@@ -26,15 +22,17 @@ def finalize(author: Column, title: Column, series: Column, volume: Column, sour
         ((F.coalesce(series, F.lit("")) != "") & (series != STANDALONE) & no_volume, 12, "seria-bez-tomu"),
         (F.coalesce(F.size(errors), F.lit(0)) > 0, 10, "blad-odczytu-metadanych"),
         (title.rlike(r"(?i)\b[0-9a-f]{12,}\b"), 20, "szum-w-tytule"),
-        (title.rlike(r"(?i)anna.?s archive"), 20, "artefakt-zrodla"),
+        (title.rlike(r"(?i)\banna.?s archive\b"), 20, "artefakt-zrodla"),
     ]
     lost = sum((F.when(c, p).otherwise(0) for c, p, _ in rules), F.lit(0))
-    return F.struct(F.greatest(F.lit(0), F.least(F.lit(100), base - lost)).alias("confidence"),
-                    F.array_compact(F.array(*[F.when(c, r) for c, _, r in rules])).alias("reasons"))
+    told = F.concat(F.coalesce(earlier, F.array().cast("array<string>")), F.array_compact(F.array(*[F.when(c, r) for c, _, r in rules])))
+    return F.struct(F.greatest(F.lit(0), F.least(F.lit(100), base - lost)).alias("confidence"), F.array_distinct(told).alias("reasons"))
 
 
-def needs_review(confidence: Column, reasons: Column, blocking: list[str]) -> Column:
-    return (confidence < REVIEW_BELOW) | F.coalesce(F.arrays_overlap(reasons, F.array(*map(F.lit, blocking))), F.lit(False))
+def needs_review(confidence: Column, reasons: Column, blocking: list[str] | None = None) -> Column:
+    """Low confidence or a blocking reason."""
+    held = F.array(*map(F.lit, blocking or BLOCKING))
+    return (confidence < REVIEW_BELOW) | F.coalesce(F.arrays_overlap(reasons, held), F.lit(False))
 
 
 def output_name(author: Column, series: Column, volume: Column, title: Column) -> Column:
@@ -42,44 +40,11 @@ def output_name(author: Column, series: Column, volume: Column, title: Column) -
     return sanitize_component(filename_stem(author, series, format_volume(volume), title))
 
 
-def number_names(rows: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """Equal names of a folder get `` (n)`` from the second on, case ignored."""
-    w = Window.partitionBy(folder, F.lower(F.col(name))).orderBy(order)
-    n = F.row_number().over(w) - 1
-    return rows.withColumn("copy_no", n).withColumn("final_name", F.when(F.col("copy_no") > 0, F.concat(F.col(name), F.lit(" ("), F.col("copy_no").cast("string"), F.lit(")"))).otherwise(F.col(name)))
-
-
-def collisions(rows: DataFrame, destination: str) -> DataFrame:
-    """Destinations that more than one row claims, case ignored."""
-    return rows.groupBy(F.lower(F.col(destination)).alias("destination")).agg(F.count(F.lit(1)).alias("claims")).where("claims > 1")
-
-
 def natural_key(c: Column) -> Column:
-    """Sort key with figures padded, so that 2 comes before 10."""
+    """Sort key in which numbers of any length stand in order of their value, so that 2 comes before 10."""
     pieces = F.regexp_extract_all(F.lower(c), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p)), "")
-
-
-def skip_processed(files: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
-    """Files the manifest does not hold with the same signature."""
-    return files.join(manifest.select(*keys).distinct(), keys, "left_anti")
-
-
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Manifest after a run: new entries replace old ones of the same key."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
-
-
-def moves(rows: DataFrame, key: str, source: str, target: str) -> DataFrame:
-    """Two-stage renames: to a temporary name, then to the target; same names need none."""
-    hop = F.concat(F.lit(".tmp-"), F.col(key).cast("string"))
-    steps = F.array(F.struct(F.lit(1).alias("step"), F.col(source).alias("src"), hop.alias("dst")), F.struct(F.lit(2).alias("step"), hop.alias("src"), F.col(target).alias("dst")))
-    return rows.where(F.col(source) != F.col(target)).select(key, F.explode(steps).alias("m")).select(key, "m.*")
-
-
-def undo(plan: DataFrame, key: str) -> DataFrame:
-    """The inverse steps in reverse order."""
-    return plan.select(key, (3 - F.col("step")).alias("step"), F.col("dst").alias("src"), F.col("src").alias("dst"))
+    bare = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(p)).cast("string"), 9, "0"), bare(p))).otherwise(p)), "")
 
 
 def replace_source(old: DataFrame, new: DataFrame, column: str, source: str) -> DataFrame:
@@ -91,3 +56,11 @@ def ordered_distinct(rows: DataFrame, group: str, value: str, order: str) -> Dat
     """Values of each group in order of first occurrence, joined by a bar."""
     first = rows.groupBy(group, value).agg(F.min(order).alias("at"))
     return first.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value]), "|").alias("seen"))
+
+
+def run_counts(rows: DataFrame) -> DataFrame:
+    """Counters of a run from the status of each file and its need of review."""
+    c = F.col
+    of = lambda *s: F.count_if(c("status").isin(*s))
+    return rows.agg(F.count(F.lit(1)).alias("total"), of("skipped").alias("skipped"), F.count_if(c("review")).alias("review"), of("planned", "review-required").alias("to_write"),
+                    of("renamed", "copied", "copied+archived", "moved").alias("written"), F.count_if(c("status").startswith("failed")).alias("errors"))

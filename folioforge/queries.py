@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioforge.functions import text as t
 from folioforge.functions.folding import fold_tables
 from folioforge.operators import authors, online, records
 from folioforge.runtime import table
-from folioforge.streaming.incremental import failures_to_fetch, stream_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -66,26 +65,12 @@ def author_key_groups(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(t.key_of(F.col("p_name")).alias("name_key")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
 
 
-@query("""
-WITH v AS (SELECT book_id, regexp_extract(stem, '(\\d+)(?:\\.(\\d+))?', 1) AS a, regexp_extract(stem, '(\\d+)(?:\\.(\\d+))?', 2) AS b FROM books WHERE regexp_matches(stem, '\\d'))
-SELECT book_id, CAST(a AS INT) AS major, CASE WHEN b = '' THEN '00' WHEN length(b) < 2 THEN '0' || b ELSE b END AS minor FROM v WHERE length(a) < 10""")
-def volume_parse(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "books").where(F.col("stem").rlike(r"\d")).select("book_id", t.parse_volume(F.regexp_extract("stem", r"(\d+(?:\.\d+)?)", 1)).alias("v"))
-    return b.select("book_id", "v.major", "v.minor")
-
-
 @query("""SELECT record_id, CASE WHEN volume IS NULL OR (volume.major = 0 AND coalesce(TRY_CAST(volume.minor AS INT), 0) = 0) THEN 'Tom 00.00'
   ELSE 'Tom ' || CASE WHEN volume.major < 10 THEN '0' ELSE '' END || volume.major || '.' || CASE WHEN length(volume.minor) < 2 THEN '0' ELSE '' END || coalesce(volume.minor, '00') END AS label FROM records""")
 def volume_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "records").select("record_id", t.format_volume(F.col("volume")).alias("label"))
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 4 WHEN 1 THEN 14 WHEN 2 THEN 1999 WHEN 3 THEN NULL WHEN 4 THEN 3 ELSE NULL END AS roman FROM nation""")
-def roman_numbers(spark: SparkSession, d: str) -> DataFrame:
-    words = F.element_at(F.array(*map(F.lit, ["IV", "xiv", "MCMXCIX", "i", "III", "abc"])), (F.col("n_nationkey") % 6 + 1).cast("int"))
-    return table(spark, d, "nation").select("n_nationkey", t.roman_value(words).alias("roman"))
-
-
 @query("""WITH x AS (SELECT book_id, unnest(identifiers) AS v, generate_subscripts(identifiers, 1) AS i FROM books),
  f AS (SELECT book_id, i, unnest(regexp_extract_all(v, '(97[89][0-9]{10}|[0-9]{9}[0-9Xx])', 1)) AS n FROM x),
  g AS (SELECT book_id, upper(n) AS n, min(i) AS i FROM f GROUP BY ALL)
@@ -103,17 +88,6 @@ def last_first_names(spark: SparkSession, d: str) -> DataFrame:
                     t.last_first(F.concat(F.col("c_mktsegment"), F.lit(", "), F.col("c_name"))).alias("swapped"))
 
 
-@query("SELECT s_suppkey, s_name || '|' || replace(n_name, '_', ' ') AS parts FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name NOT LIKE '% %'")
-def split_author_lists(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").join(table(spark, d, "nation").where("n_name not like '% %'"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.select("s_suppkey", F.array_join(t.split_authors(F.concat(F.col("s_name"), F.lit(" and "), F.col("n_name"))), "|").alias("parts"))
-
-
-@query()
-def canonical_author_lists(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "records").select("record_id", F.array_join(t.canonical_authors(t.split_authors(F.col("author"))), " & ").alias("authors"))
-
-
 @query("SELECT p_partkey, regexp_replace(p_name || '- ' || p_type, '[<>:\"/\\\\|?*]', '-', 'g') AS safe, p_brand || ' - ' || p_name || ' - Tom 01.00 - ' || p_type AS stem FROM part")
 def safe_filename(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
@@ -140,198 +114,30 @@ def title_similarity(spark: SparkSession, d: str) -> DataFrame:
     return r.join(b, "path").select("record_id", F.round(t.similarity(F.col("r"), F.col("b")), 6).alias("score"))
 
 
-_MERGE = """
-WITH r AS (SELECT group_key, row_id, coalesce(source_rank, 99) AS sr, coalesce(confidence_rank, -1) AS cr,
-  {fields} FROM author_rows WHERE group_key <> '')
-SELECT group_key, count(*) AS n_rows, {best} FROM r GROUP BY group_key"""
-
-
-def _merge_sql() -> str:
-    f = ["author_first_last", "author_last_first"]
-    fields = ", ".join(f"trim(coalesce({x}, ''), ' ') AS {x}" for x in f)
-    best = ", ".join(
-        f"coalesce(arg_min({x}, row(CAST(contains({x}, '...') AS INT), CAST(regexp_matches({sql_clean(x)}, '\\d') AS INT), "
-        f"len(list_filter(string_split({sql_clean(x)}, ' '), lambda w: length(w) = 1)), sr, -cr, -length({x}), row_id)) FILTER ({x} <> ''), '') AS {x}" for x in f)
-    return _MERGE.format(fields=fields, best=best)
-
-
-@query(_merge_sql())
-def author_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Grouped author merge: best name forms by text quality, trust, confidence and length."""
-    return authors.merge_authors(table(spark, d, "author_rows")).select("group_key", "n_rows", "author_first_last", "author_last_first")
-
-
 @query("SELECT row_id, author_first_last, author_last_first, author_raw FROM author_rows WHERE coalesce(group_key, '') = ''")
 def author_ungrouped(spark: SparkSession, d: str) -> DataFrame:
     return authors.ungrouped(table(spark, d, "author_rows"))
 
 
-@query()
-def author_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return authors.catalog(authors.merge_authors(table(spark, d, "author_rows")))
-
-
-@query()
-def resolve_record_authors(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "records").select("record_id", "author")
-    return authors.resolve(r, "author", author_catalog(spark, d))
-
-
-@query("""SELECT DISTINCT ON (book_id) book_id, series, score FROM candidates
- ORDER BY book_id, score DESC, (title_override IS NULL), pos, series, source""")
-def top_series(spark: SparkSession, d: str) -> DataFrame:
-    return records.top_candidate(table(spark, d, "candidates")).select("book_id", "series", "score")
-
-
 @query("SELECT online_id, CASE WHEN score >= 420 THEN 78 WHEN score >= 320 THEN 72 WHEN score >= 250 THEN 66 WHEN score >= 180 THEN 60 ELSE 54 END AS confidence FROM online_candidates")
 def online_confidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "online_candidates").select("online_id", online.confidence_of(F.col("score")).alias("confidence"))
 
 
-@query()
-def online_consensus(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "online_candidates").select("online_id", "provider", "title", F.coalesce("authors", F.array()).alias("authors"), F.coalesce("identifiers", F.array()).alias("identifiers"), "score", "reason")
-    return online.consensus(o, "online_id")
-
-
-@query("""WITH k AS (SELECT l_partkey, l_suppkey, max(CAST(l_quantity AS INT)) AS q FROM lineitem GROUP BY ALL)
- SELECT l_partkey, max(q) + 25 * (count(*) - 1) AS score, count(*) AS providers FROM k GROUP BY l_partkey""")
-def consensus_bonus(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max(F.col("l_quantity").cast("int")).alias("q"), F.countDistinct("l_suppkey").alias("providers"))
-    return li.select("l_partkey", (F.col("q") + 25 * (F.col("providers") - 1)).alias("score"), "providers")
-
-
-@query("""WITH r AS (SELECT c_nationkey, c_custkey, CAST(c_acctbal AS INT) AS score, row_number() OVER w AS rn, lead(CAST(c_acctbal AS INT)) OVER w AS second
-  FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY CAST(c_acctbal AS INT) DESC, c_custkey))
- SELECT c_nationkey, c_custkey, CASE WHEN second IS NOT NULL AND score - second < 25 THEN score - 10 ELSE score END AS score,
-  (second IS NOT NULL AND score - second < 25) AS ambiguous FROM r WHERE rn = 1""")
-def ambiguity_margin(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.round(F.col("c_acctbal")).cast("int").alias("score"))
-    return online.ambiguity(c, "c_nationkey", "c_custkey")
-
-
-@query("""WITH s AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM events)
- SELECT user_id, count(*) AS kept FROM s WHERE stop IS NULL OR event_id <= stop GROUP BY user_id""")
-def provider_early_stop(spark: SparkSession, d: str) -> DataFrame:
-    return online.early_stop(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "purchase").groupBy("user_id").agg(F.count("*").alias("kept"))
-
-
 @query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS first_at FROM events GROUP BY ALL)
  SELECT user_id, string_agg(event_type, '|' ORDER BY first_at) AS seen FROM f GROUP BY user_id""")
 def first_seen_types(spark: SparkSession, d: str) -> DataFrame:
     return records.ordered_distinct(table(spark, d, "events"), "user_id", "event_type", "event_id")
 
 
-def _final(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "records").join(table(spark, d, "books").select("path", "errors"), "path", "left")
-    q = records.finalize(F.col("author"), F.col("title"), F.col("series"), F.col("volume"), F.col("source"), F.lit(False), F.col("errors"), F.col("confidence"))
-    return r.select("record_id", q.alias("q")).select("record_id", "q.confidence", "q.reasons")
-
-
-_FINAL = """
-WITH r AS (SELECT record_id, author, coalesce(records.title, '') AS title, coalesce(series, '') AS series, volume, source, confidence, errors FROM records LEFT JOIN books USING (path)),
-p AS (SELECT record_id, confidence, list_filter([
-  CASE WHEN author = 'Nieznany Autor' THEN 'nieznany-autor' END, CASE WHEN title IN ('', 'Bez tytulu') THEN 'brak-tytulu' END,
-  CASE WHEN source = 'fallback' THEN 'fallback' END,
-  CASE WHEN series NOT IN ('', 'Standalone') AND (volume IS NULL OR (volume.major = 0 AND volume.minor = '00')) THEN 'seria-bez-tomu' END,
-  CASE WHEN len(errors) > 0 THEN 'blad-odczytu-metadanych' END,
-  CASE WHEN regexp_matches(title, '(?i)\\b[0-9a-f]{12,}\\b') THEN 'szum-w-tytule' END,
-  CASE WHEN regexp_matches(title, '(?i)anna.?s archive') THEN 'artefakt-zrodla' END], lambda x: x IS NOT NULL) AS reasons FROM r),
-q AS (SELECT record_id, reasons, greatest(0, least(100, confidence - list_sum(list_concat([0], list_transform(reasons, lambda x: CASE x WHEN 'nieznany-autor' THEN 25
-  WHEN 'brak-tytulu' THEN 30 WHEN 'fallback' THEN 15 WHEN 'seria-bez-tomu' THEN 12 WHEN 'blad-odczytu-metadanych' THEN 10 ELSE 20 END))))) AS confidence FROM p)
-"""
-
-
-@query(_FINAL + "SELECT record_id, CAST(confidence AS INT) AS confidence, array_to_string(reasons, '|') AS reasons FROM q")
-def confidence_finalize(spark: SparkSession, d: str) -> DataFrame:
-    return _final(spark, d).select("record_id", "confidence", F.array_join("reasons", "|").alias("reasons"))
-
-
-@query(_FINAL + "SELECT (confidence < 65 OR list_has_any(reasons, ['brak-tytulu', 'nieznany-autor', 'szum-w-tytule'])) AS needs_review, count(*) AS n FROM q GROUP BY 1")
-def review_split(spark: SparkSession, d: str) -> DataFrame:
-    f = _final(spark, d)
-    return f.groupBy(records.needs_review(F.col("confidence"), F.col("reasons"), ["brak-tytulu", "nieznany-autor", "szum-w-tytule"]).alias("needs_review")).agg(F.count("*").alias("n"))
-
-
-@query("""SELECT p_partkey, row_number() OVER w - 1 AS copy_no, p_name || CASE WHEN row_number() OVER w > 1 THEN ' (' || (row_number() OVER w - 1) || ')' ELSE '' END AS final_name
- FROM part WINDOW w AS (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey)""")
-def dedupe_names(spark: SparkSession, d: str) -> DataFrame:
-    return records.number_names(table(spark, d, "part"), "p_brand", "p_name", "p_partkey").select("p_partkey", "copy_no", "final_name")
-
-
-@query("SELECT lower(p_name) AS destination, count(*) AS claims FROM part GROUP BY 1 HAVING count(*) > 1")
-def destination_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return records.collisions(table(spark, d, "part"), "p_name")
-
-
-@query("SELECT s_suppkey, 'supplier ' || lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS sort_key FROM supplier")
+@query("SELECT s_suppkey, 'supplier ' || lpad(CAST(length(CAST(s_suppkey AS VARCHAR)) AS VARCHAR), 9, '0') || s_suppkey AS sort_key FROM supplier")
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
     return s.select("s_suppkey", records.natural_key(F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string"))).alias("sort_key")).orderBy("sort_key")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
-def manifest_skip(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return records.skip_processed(table(spark, d, "orders"), done, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
-
-
-@query("""SELECT c_custkey, CASE WHEN c_nationkey < 12 THEN 'new' ELSE 'old' END AS status FROM customer""")
-def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer")
-    return records.upsert(c.select("c_custkey", F.lit("old").alias("status")), c.where("c_nationkey < 12").select("c_custkey", F.lit("new").alias("status")), "c_custkey")
-
-
-@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS skipped, count(*) FILTER (o_orderstatus = 'P') AS review, count(*) FILTER (o_orderstatus = 'F') AS written FROM orders")
-def run_counters(spark: SparkSession, d: str) -> DataFrame:
-    c = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    return table(spark, d, "orders").agg(F.count("*").alias("total"), c("O").alias("skipped"), c("P").alias("review"), c("F").alias("written"))
-
-
-@query("""SELECT record_id, CASE WHEN confidence < 65 THEN 'review-required' WHEN series = 'Standalone' THEN 'unchanged' ELSE 'planned' END AS status, coalesce(array_to_string(identifiers, ' | '), '') AS identifiers FROM records""")
-def report_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "records").select("record_id", F.when(F.col("confidence") < 65, "review-required").when(F.col("series") == "Standalone", "unchanged").otherwise("planned").alias("status"),
-                                             F.coalesce(F.array_join("identifiers", " | "), F.lit("")).alias("identifiers"))
-
-
-@query("""SELECT p_partkey, 1 AS step, p_name AS src, '.tmp-' || p_partkey AS dst FROM part WHERE p_name <> p_type UNION ALL SELECT p_partkey, 2, '.tmp-' || p_partkey, p_type FROM part WHERE p_name <> p_type""")
-def move_plan(spark: SparkSession, d: str) -> DataFrame:
-    return records.moves(table(spark, d, "part"), "p_partkey", "p_name", "p_type")
-
-
-@query("""SELECT p_partkey, 2 AS step, '.tmp-' || p_partkey AS src, p_name AS dst FROM part WHERE p_name <> p_type UNION ALL SELECT p_partkey, 1, p_type, '.tmp-' || p_partkey FROM part WHERE p_name <> p_type""")
-def undo_plan(spark: SparkSession, d: str) -> DataFrame:
-    return records.undo(move_plan(spark, d), "p_partkey")
-
-
 @query("""SELECT doc_id, source FROM documents WHERE lower(trim(coalesce(source, ''))) <> 'dziennik-lumenta' UNION ALL SELECT 0, 'dziennik-lumenta'""")
 def source_replace(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source")
     return records.replace_source(docs, spark.range(1).select(F.col("id").alias("doc_id"), F.lit("dziennik-lumenta").alias("source")), "source", "dziennik-lumenta")
 
-
-@query("""SELECT provider, max_by(online_id, score * 1000000 - online_id) AS best, count(*) AS n FROM online_candidates GROUP BY provider""")
-def best_per_provider(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "online_candidates").groupBy("provider").agg(F.max_by("online_id", F.col("score") * F.lit(1000000).cast("long") - F.col("online_id")).alias("best"), F.count("*").alias("n"))
-
-
-@query("""WITH a AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS age FROM events)
- SELECT event_id, user_id FROM a WHERE age IS NULL OR age >= 60000000""")
-def negative_cache(spark: SparkSession, d: str) -> DataFrame:
-    return failures_to_fetch(table(spark, d, "events"), "user_id", "ts", 60).select("event_id", "user_id")
-
-
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
-def json_contract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
-@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 4 AS due, event_id FROM events")
-def rate_schedule(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, d, "events").select("user_id", (F.row_number().over(w) * 4).alias("due"), "event_id")
-
-
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def incremental_stream(spark: SparkSession, d: str) -> DataFrame:
-    return stream_counts(spark, d, "events.parquet", ["event_type"])

@@ -20,29 +20,6 @@ def author_dump(lines: DataFrame, column: str = "value") -> DataFrame:
         "author_last_first", last_first(F.col("name")))
 
 
-def author_list(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(author_id, slug, first_last) of the author links of list pages, first page of an id wins."""
-    link = r'href="[^"]*/autor/(\d+)/([a-z0-9-]+)"'
-    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(link), F.lit(1)).alias("author_id"), F.regexp_extract_all(html, F.lit(link), F.lit(2)).alias("slug"))
-    rows = pages.select("page", F.explode(both).alias("x")).select("page", "x.author_id", "x.slug")
-    first = rows.groupBy("author_id").agg(F.min(F.struct("page", "slug")).alias("m"))
-    return first.select("author_id", F.col("m.page").alias("page"), F.col("m.slug").alias("slug"), F.initcap(F.translate("m.slug", "-", " ")).alias("first_last"))
-
-
-def crawl_until(pages: DataFrame, stale: int) -> DataFrame:
-    """Pages before the first 404 and before ``stale`` pages in a row without a new id."""
-    from pyspark.sql import Window
-
-    # one row per page of a crawl: the window holds page numbers and counts, not page bodies
-    w = Window.partitionBy(F.lit(1)).orderBy("page")
-    run = pages.select("page", "status", "new_ids").withColumn("gone", F.max((F.col("status") == 404).cast("int")).over(w))
-    dry = F.min("new_ids").over(w.rowsBetween(-(stale - 1), 0)) == 0
-    none = F.sum("new_ids").over(w.rowsBetween(-(stale - 1), 0)) == 0
-    run = run.withColumn("stop", (dry & none & (F.row_number().over(w) >= stale)).cast("int"))
-    run = run.withColumn("stopped", F.coalesce(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return run.where("gone = 0 AND stopped = 0").select("page", "status", "new_ids")
-
-
 def author_patterns(spark: SparkSession, path: str) -> DataFrame:
     """Author pattern file: quoted CSV with a header and possibly a byte-order mark."""
     return spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in PATTERN_COLUMNS), quote='"', escape='"', multiLine=True)

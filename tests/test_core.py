@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from folioforge.functions import text as t
+from folioforge.functions import text as t, titles
 from folioforge.functions.folding import author_key, author_key_exact
 from folioforge.operators import authors, records
 from folioforge.operators.packed import BAD_BRACKET, BAD_QUOTE, CODES, PEOPLE, split_cell, unpack
@@ -31,7 +31,7 @@ def test_scalars(spark):
     assert tuple(one(spark, t.genre_suffix, "Title [fantasy]")) == ("Title", "fantasy")
     assert one(spark, t.last_first, "Eric van Lustbader") == "van Lustbader Eric"
     assert one(spark, t.last_first, "Krout, Dakota") == "Krout Dakota"
-    assert one(spark, t.split_authors, "Centkiewiczowie Alina i Czesław") == ["Alina Centkiewicz", "Czesław Centkiewicz"]
+    assert one(spark, titles.split_authors, "Centkiewiczowie Alina i Czesław") == ["Alina Centkiewicz", "Czesław Centkiewicz"]
     assert one(spark, t.sanitize_component, "con") == "_con"
     assert one(spark, t.sanitize_component, " .. ") == "Brak"
 
@@ -88,6 +88,7 @@ def test_author_merge(spark):
         [(1, "akeholmberg", "ol", None, "Åke 1907 Holmberg", None, 1, 2, 17), (2, "akeholmberg", "lc", "Ake Holmberg", "Ake Holmberg", "Holmberg Ake", 0, 1, 12), (3, "", "ol", "?", None, None, 1, 0, 0)],
         "row_id long, group_key string, source string, author_raw string, author_first_last string, author_last_first string, source_rank int, confidence_rank int, author_len int")
     got = authors.merge_authors(rows).collect()
+    assert got[0]["source"] == "lc | ol"
     assert len(got) == 1 and got[0]["author_first_last"] == "Ake Holmberg" and got[0]["author_raw"] == "" and got[0]["n_rows"] == 2
     assert authors.ungrouped(rows).count() == 1
     cat = authors.catalog(authors.merge_authors(rows))
@@ -95,11 +96,18 @@ def test_author_merge(spark):
     assert dict(found.collect()) == {"Holmberg, Ake": "Ake Holmberg", "Nikt Inny": None}
 
 
-def test_natural_order_and_numbered_names(spark):
+def test_natural_order(spark):
     df = spark.createDataFrame([("[10] a",), ("A",), ("[2] a",), ("(03) a",)], "n string")
     assert [r["n"] for r in df.orderBy(records.natural_key(F.col("n"))).collect()] == ["(03) a", "[2] a", "[10] a", "A"]
-    names = spark.createDataFrame([(1, "f", "Book"), (2, "f", "book"), (3, "g", "Book")], "id int, folder string, name string")
-    got = {r["id"]: r["final_name"] for r in records.number_names(names, "folder", "name", "id").collect()}
-    assert got == {1: "Book", 2: "book (1)", 3: "Book"}
-    plan = records.moves(spark.createDataFrame([(1, "a", "b"), (2, "c", "c")], "id int, s string, t string"), "id", "s", "t")
-    assert plan.count() == 2 and records.undo(plan, "id").where("step = 2 and dst = 'a'").count() == 1
+    long = spark.createDataFrame([("a 1234567890123",), ("a 1234567890124",), ("a 99",), ("a 007",)], "n string")
+    assert [r["n"] for r in long.orderBy(records.natural_key(F.col("n"))).collect()] == ["a 007", "a 99", "a 1234567890123", "a 1234567890124"]
+
+
+def test_numbers_beyond_an_int_are_no_volume(spark):
+    assert one(spark, t.parse_volume, "9781234567890 Dom") is None
+    assert tuple(one(spark, t.parse_volume, "Tom 3")) == (3, "00") and one(spark, t.roman_value, "I") is None
+
+
+def test_packed_prefilter_sees_all_blanks(spark):
+    cells = spark.createDataFrame([(1, "Jan Kot\u00a0i\u00a0Ewa Lis")], "id int, cell string")
+    assert [r["item"] for r in unpack(cells, "cell", PEOPLE, ["id"], 2).collect()] == ["Jan Kot", "Ewa Lis"]
