@@ -27,7 +27,7 @@ SHORT_FORMS |= {
     "olenka": "aleksandra", "olcia": "olga", "oskarek": "oskar", "tilly": "ottilie", "ottla": "ottilie", "paula": "paulina", "paulinka": "paulina", "pawelek": "pawel", "penny": "penelope", "pippa": "philippa", "mena": "philomena",
     "piotrek": "piotr", "przemek": "przemyslaw", "radek": "radoslaw", "rafalek": "rafal", "gina": "regina", "renia": "renata", "ren": "renata", "romek": "roman", "roz": "rosalind", "rosie": "rosalind",
     "rozia": "rozalia", "rudi": "rudolf", "rysiek": "ryszard", "rys": "ryszard", "sam": "samuel", "seba": "sebastian", "sewek": "seweryn", "siggi": "sigmund", "sigi": "sigmund", "staszek": "stanislaw", "stasiek": "stanislaw", "stefek": "stefan",
-    "sue": "susannah", "susie": "susannah", "sylwka": "sylwia", "szymek": "szymon", "tadek": "tadeusz", "tadzio": "tadeusz", "tereska": "teresa", "thad": "thaddeus", "theo": "theodore", "tomek": "tomasz",
+    "sue": "susannah", "susie": "susannah", "sukey": "susannah", "sylwka": "sylwia", "szymek": "szymon", "tadek": "tadeusz", "tadzio": "tadeusz", "tereska": "teresa", "thad": "thaddeus", "theo": "theodore", "tomek": "tomasz",
     "ula": "urszula", "urszulka": "urszula", "uschi": "ursula", "val": "valentine", "ronnie": "veronica", "vera": "veronica", "vince": "vincent", "wala": "walentyna", "wally": "walter", "walt": "walter", "wandzia": "wanda", "weronka": "weronika", "nika": "weronika",
     "wiktorek": "wiktor", "wilma": "wilhelmina", "minna": "wilhelmina", "mina": "wilhelmina", "wladek": "wladyslaw", "wojtek": "wojciech", "zach": "zachary", "zack": "zachary", "zbyszek": "zbigniew", "zosia": "zofia", "zoska": "zofia", "zuzia": "zuzanna",
     "zuza": "zuzanna", "zygmus": "zygmunt", "zyga": "zygmunt",

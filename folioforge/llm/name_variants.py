@@ -54,13 +54,13 @@ def vectors(names: DataFrame) -> DataFrame:
 
 def cosine_pairs(vec: DataFrame, least: float = COSINE) -> DataFrame:
     """(a, b, cosine) of the pairs that share weighted features, a < b."""
-    # products in whole millionths: exact sums in any order, and less to shuffle
+    # products in whole parts of a billionth of a thousandth: sums that do not depend on their order, and less to shuffle
     left = vec.select("feature", F.col("id").alias("a"), F.col("w").alias("wa"))
     right = vec.select("feature", F.col("id").alias("b"), F.col("w").alias("wb"))
     return (
         left.join(right, "feature").where("a < b")
-        .groupBy("a", "b").agg(F.sum(F.round(F.col("wa") * F.col("wb") * 1e6).cast("long")).alias("dot"))
-        .select("a", "b", (F.col("dot") / 1e6).alias("cosine")).where(F.col("cosine") >= least)
+        .groupBy("a", "b").agg(F.sum(F.round(F.col("wa") * F.col("wb") * 1e12).cast("long")).alias("dot"))
+        .select("a", "b", (F.col("dot") / 1e12).alias("cosine")).where(F.col("cosine") >= least)
     )
 
 
