@@ -1,7 +1,7 @@
 """Best representative of each duplicate group, field by field.
 
 Fields are unpivoted to long rows, votes are gathered per normalised value, the
-winner of each field is taken by ``max_by`` / an ordered minimum, and the record
+winner of each field is taken by ``max_by``, and the record
 is pivoted back. Every aggregation has a map-side part, so a group holding a
 third of all rows costs one partial row per task.
 
@@ -30,21 +30,23 @@ def unpivot_fields(rows: DataFrame, key: str, row_id: str, fields: list[str], ex
 
 
 def ranked_values(rows: DataFrame, key: str, row_id: str, fields: list[str], order: list[Column], least: int = 2) -> DataFrame:
-    """(key, field, row_id, value) of the row that wins each field by ``order``.
+    """(key, field, row_id) of the row that wins each field by ``order``.
 
-    ``order`` is a list of expressions over ``rows``, smallest first; row ids end
-    ties. Only groups of at least ``least`` rows count. This is an ordered minimum, not
-    a vote: no sum over rows can outweigh a more trusted source.
+    ``order`` is a list of integer expressions over ``rows``, smallest first; row ids
+    end ties. Every row votes once for the value it holds, with a vote of as many
+    places as there are expressions, so that no number of lesser votes outweighs a
+    greater one; the winner of each field is taken by ``max_by`` over the votes, which
+    gives one record per key, and the records are unpivoted. Only groups of at least
+    ``least`` rows count. Texts never move, only row ids and votes.
     """
-    extra = {f"_o{i}": c for i, c in enumerate(order)}
-    long = unpivot_fields(rows, key, row_id, fields, extra)
-    rank = F.struct(*extra, "_row", "_value")
-    return (
-        long.groupBy("_key", "_field")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("_value").rlike(LETTER), rank)).alias("_best"))
-        .where((F.col("_n") >= least) & F.col("_best").isNotNull())
-        .select(F.col("_key").alias(key), F.col("_field").alias("field"), F.col("_best._row").alias(row_id), F.col("_best._value").alias("value"))
-    )
+    vote = F.struct(*[(-c).alias(f"v{i}") for i, c in enumerate(order)], (-F.col(row_id)).alias("first"))
+    held = rows.where((F.col(key) != "") & F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(row_id).alias("_row"), vote.alias("_vote"), *[F.col(f).rlike(LETTER).alias(f"_has{i}") for i, f in enumerate(fields)])
+    # max_by passes over NULL votes: a field is won among the rows that hold a value
+    won = [F.max_by("_row", F.when(F.col(f"_has{i}"), F.col("_vote"))).alias(f"_w{i}") for i in range(len(fields))]
+    record = held.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), *won).where(F.col("_n") >= least)
+    long = record.select(F.col("_key").alias(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_w{i}").alias(row_id)) for i, f in enumerate(fields)])).alias("_f"))
+    return long.select(key, "_f.*").where(F.col(row_id).isNotNull())
 
 
 def survivors(rows: DataFrame, key: str, row_id: str, fields: list[str], trust: Column, seen_at: str,
