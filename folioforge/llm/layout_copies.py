@@ -3,10 +3,9 @@
 Each row becomes canonical bytes: its key and its words, lower-case and sorted.
 Buckets are byte prefixes. A bucket with more rows than ``capacity`` is split by
 further bytes, beyond the longest prefix all its rows share, until every bucket
-fits; only the split nodes (at most rows / capacity per level) are known to the
-driver. A bucket that is too large because one value fills it cannot be split and
-need not be: the plan already knows its count and smallest row, so its rows are
-answered where they lie. All other buckets go to one task each, where a trie over
+fits; the split nodes of a level (at most rows / capacity) are a table. A bucket
+that is too large because one value fills it cannot be split and need not be: its
+node knows its count and smallest row, so its rows are answered where they lie. All other buckets go to one task each, where a trie over
 the words counts copies in its terminal nodes.
 
 Defined results: a text without a letter is missing and takes no part, as do rows
@@ -16,10 +15,11 @@ of times a word occurs does. Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from folioforge.runtime import cut
 
@@ -34,44 +34,34 @@ def canonical(rows: DataFrame, key: str, row_id: str, text: str) -> DataFrame:
         F.col(row_id).cast("long").alias("row_id"), F.encode(F.concat_ws(" ", F.concat(F.col(key), F.lit("\n")), words), "utf-8").alias("b"))
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    return next((i for i in range(n) if a[i] != b[i]), n)
+@F.arrow_udf(T.IntegerType())
+def _shared(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Bytes that two values share at their start."""
+    return pa.array([next((i for i, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q))) for p, q in zip(a.to_pylist(), b.to_pylist())], pa.int32())
 
 
-def radix_plan(canon: DataFrame, capacity: int = CAPACITY) -> tuple[list[dict[bytes, int]], dict[bytes, tuple[int, int]]]:
-    """Split nodes by level (prefix -> length of the children's prefixes), and the
-    values that alone exceed ``capacity`` (bytes -> smallest row, copies)."""
-    spark = canon.sparkSession
-    levels: list[dict[bytes, int]] = []
-    whole: dict[bytes, tuple[int, int]] = {}
-    at = canon.select("row_id", "b", F.substring("b", 1, FIRST).alias("p"))
+def radix_buckets(canon: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """(rows with their bucket ``p``, rows of values that alone exceed ``capacity`` with smallest row and copies).
+
+    The split nodes of a level are a table, joined to the rows that are still in
+    too large buckets; only these rows are written again for the next level. The
+    driver sees one count per level.
+    """
+    at, level = canon.select("row_id", "b", F.substring("b", 1, FIRST).alias("p")), 0
+    fit, whole = [], []
     while True:
-        big = at.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > capacity)
-        over = [bytes(r["p"]) for r in big.select("p").collect()]
-        if not over:
-            return levels, whole
-        nodes = F.broadcast(spark.createDataFrame([(bytearray(p),) for p in over], "p binary"))
-        span = at.join(nodes, "p").groupBy("p").agg(
-            F.min("b").alias("lo"), F.max("b").alias("hi"), F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        split: dict[bytes, int] = {}
-        for r in span.collect():
-            lo, hi = bytes(r["lo"]), bytes(r["hi"])
-            if lo == hi:
-                whole[lo] = (r["first"], r["n"])
-            else:
-                split[bytes(r["p"])] = _shared(lo, hi) + MORE
-        if not split:
-            return levels, whole
-        levels.append(split)
-        at = _descend(at, split, keep_unsplit=False)
-
-
-def _descend(at: DataFrame, split: dict[bytes, int], keep_unsplit: bool) -> DataFrame:
-    nodes = at.sparkSession.createDataFrame([(bytearray(p), n) for p, n in split.items()], "p binary, w int")
-    joined = at.join(F.broadcast(nodes), "p", "left" if keep_unsplit else "inner")
-    deeper = F.expr("substring(b, 1, w)")
-    return joined.withColumn("p", F.when(F.col("w").isNull(), F.col("p")).otherwise(deeper)).drop("w")
+        spans = at.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"), F.min("row_id").alias("first")).where(F.col("n") > capacity)
+        nodes = cut(spans.select("p", "n", "first", (F.col("lo") == F.col("hi")).alias("one"), (_shared("lo", "hi") + MORE).alias("w")), "radix-nodes")
+        tag = F.concat(F.lit(f"{level}:").cast("binary"), F.col("p"))
+        if not nodes.limit(1).count():
+            fit.append(at.select("row_id", "b", tag.alias("p")))
+            break
+        fit.append(at.join(nodes.select("p"), "p", "left_anti").select("row_id", "b", tag.alias("p")))
+        whole.append(at.join(nodes.where("one").select("p", "n", "first"), "p").select("row_id", F.col("first").alias("kept_row_id"), F.col("n").alias("copies")))
+        deeper = at.join(nodes.where("NOT one").select("p", "w"), "p").select("row_id", "b", F.expr("substring(b, 1, w)").alias("p"))
+        at, level = cut(deeper, "radix-level"), level + 1
+    empty = canon.select("row_id", F.col("row_id").alias("kept_row_id"), F.col("row_id").alias("copies")).where("false")
+    return reduce(DataFrame.unionByName, fit), reduce(DataFrame.unionByName, whole, empty)
 
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -95,19 +85,7 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def layout_copies(rows: DataFrame, key: str, row_id: str, text: str, capacity: int = CAPACITY) -> DataFrame:
     """(row_id, kept_row_id, copies) of every row that takes part."""
-    spark = rows.sparkSession
     canon = cut(canonical(rows, key, row_id, text), "canonical")
-    levels, whole = radix_plan(canon, capacity)
-    at = canon.select("row_id", "b", F.substring("b", 1, FIRST).alias("p"))
-    for split in levels:
-        at = _descend(at, split, keep_unsplit=True)
-    out = "row_id long, kept_row_id long, copies long"
-    rest = at
-    if whole:
-        known = F.broadcast(spark.createDataFrame([(bytearray(b), k, n) for b, (k, n) in whole.items()], "b binary, kept_row_id long, copies long"))
-        rest = at.join(known.select("b"), "b", "left_anti")
+    fit, whole = radix_buckets(canon, capacity)
     # rows of one bucket travel together; a bucket never exceeds the capacity
-    counted = rest.groupBy("p").applyInPandas(_count, out)
-    if whole:
-        counted = counted.unionByName(at.join(known, "b").select("row_id", "kept_row_id", "copies"))
-    return counted
+    return fit.groupBy("p").applyInPandas(_count, "row_id long, kept_row_id long, copies long").unionByName(whole)
