@@ -12,7 +12,6 @@ NAMES = (
     "stop_share", "distinct_share", "short_share", "mean_line_words", "cell_line_share",
     "item_line_share", "shape_share", "loop_share", "odd_word_share", "noise_line_share",
 )
-LANGS = ("pl", "en", "de")
 
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")

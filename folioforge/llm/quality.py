@@ -122,17 +122,32 @@ def prose_models(stats: DataFrame, steps: int = 2) -> dict:
     return models
 
 
-def page_kind(x: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Kind of each page: what its outlying statistics say, ``prose`` if none is outlying."""
+#: The statistics whose excess over prose tells each kind.
+SIGNS = {
+    "junk": ("noise_line_share", "symbol_share", "loop_share", "odd_word_share", "stop_share"),
+    "table": ("cell_line_share", "digit_share"),
+    "list": ("item_line_share", "shape_share"),
+}
+
+
+def page_kind(x: np.ndarray, parts: np.ndarray, excess: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Kind of each page, ``prose`` if it is not outlying.
+
+    Of the kinds that a page is mostly made of, the one whose statistics contribute
+    most to its distance, counting those above prose only. ``parts`` are the
+    contributions, ``excess`` the statistics less those of prose.
+    """
     g = lambda n: x[:, AT[n]]
-    junk = (
-        (g("noise_line_share") > 0.4) | (g("symbol_share") > 0.4) | (g("loop_share") > 0.4)
-        | (g("odd_word_share") > 0.06) | ((g("stop_share") > 0.7) & (g("symbol_share") > 0.1)) | (g("stop_share") > 0.8)
-    )
-    table = g("cell_line_share") >= 0.5
-    listed = (g("item_line_share") >= 0.5) | (g("shape_share") + g("item_line_share") * (g("shape_share") < 0.5) >= 0.56)
-    kind = np.select([junk, table, listed], ["junk", "table", "list"], "prose").astype(object)
-    kind[~far] = "prose"
+    mostly = {
+        "junk": (g("noise_line_share") > 0.4) | (g("symbol_share") > 0.4) | (g("loop_share") > 0.4)
+        | (g("odd_word_share") > 0.06) | ((g("stop_share") > 0.7) & (g("symbol_share") > 0.1)) | (g("stop_share") > 0.8),
+        "table": g("cell_line_share") >= 0.5,
+        "list": (g("item_line_share") >= 0.5) | (g("shape_share") + g("item_line_share") * (g("shape_share") < 0.5) >= 0.56),
+    }
+    above = np.where(excess > 0, np.maximum(parts, 0.0), 0.0)
+    share = np.column_stack([np.where(mostly[k], above[:, [AT[n] for n in names]].sum(1), -1.0) for k, names in SIGNS.items()])
+    kind = np.array(list(SIGNS), object)[share.argmax(1)]
+    kind[(share.max(1) < 0) | ~far] = "prose"
     kind[g("log_words") + g("digit_share") + g("symbol_share") == 0] = "junk"
     return kind
 
@@ -145,15 +160,16 @@ def judge(stats: DataFrame, models: dict) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             x = np.column_stack([batch.column(i + 2).to_numpy() for i in range(K)]).reshape(-1, K)
-            parts = np.zeros_like(x)
+            parts, excess = np.zeros_like(x), np.zeros_like(x)
             for lang in set(langs):
                 parts[langs == lang] = _squared(x[langs == lang], _pick(models, lang))
+                excess[langs == lang] = x[langs == lang] - _pick(models, lang)[0]
             d2 = parts.sum(1)
             blank = ~x.any(1)
             dist = [None if b else float(np.sqrt(max(v, 0.0))) for b, v in zip(blank, d2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(dist, pa.float64()),
-                 pa.array(list(parts), pa.list_(pa.float64())), pa.array(list(page_kind(x, d2 > BOUND)), pa.string())],
+                 pa.array(list(parts), pa.list_(pa.float64())), pa.array(list(page_kind(x, parts, excess, d2 > BOUND)), pa.string())],
                 ["id", "language", "distance", "parts", "kind"])
 
     return stats.mapInArrow(run, f"id {id_type}, language string, distance double, parts array<double>, kind string")
