@@ -18,6 +18,9 @@ longer label, then the smaller id; NULL cells give nothing.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from folioforge.functions.folding import fold_accents
@@ -64,7 +67,7 @@ WITH grams AS (
   FROM _list_shapes LATERAL VIEW explode(sequence(1, length(form))) s AS p LATERAL VIEW explode({lens}) l AS n
   WHERE p + n - 1 <= length(form)
 ), pairs AS (
-  SELECT /*+ BROADCAST(r) */ DISTINCT g.v, g.form, r.entry_id, r.ref, r.k, r.cut_short
+  SELECT {hint} DISTINCT g.v, g.form, r.entry_id, r.ref, r.k, r.cut_short
   FROM grams g JOIN _list_segs r ON g.g = r.seg AND g.at = r.at
    AND abs(length(g.form) - length(r.ref)) <= r.k AND (g.dotted OR NOT r.cut_short)
 ), near AS (
@@ -75,6 +78,10 @@ FROM near WHERE d >= 0 GROUP BY v
 """
 
 
+#: Segments of the list up to which it is broadcast.
+MOST_SENT = 100_000
+
+
 def map_to_list(cells: DataFrame, entries: DataFrame, text: str = "cell") -> DataFrame:
     """``cells`` that are cases, with ``entry_id`` (0: the list has no such entry).
 
@@ -82,18 +89,24 @@ def map_to_list(cells: DataFrame, entries: DataFrame, text: str = "cell") -> Dat
     small by definition; values are reduced to distinct ones before the join.
     """
     spark = cells.sparkSession
+    tag = uuid.uuid4().hex
+    own = lambda sql: re.sub(r"\b_list_(\w+)", rf"_list_\1_{tag}", sql)
     names = [c for c in entries.columns if c != "entry_id"]
     labels = entries.select("entry_id", F.explode(F.array(*names)).alias("label")).where("label IS NOT NULL")
-    labels.select("entry_id", F.lower(fold_accents(F.col("label"))).alias("folded")).createOrReplaceTempView("_list_labels")
-    cut(spark.sql(_LABELS.format(edits=EDITS.format("ref"))), "segments").createOrReplaceTempView("_list_segs")
-    lens = [r[0] for r in spark.sql("SELECT DISTINCT length(seg) FROM _list_segs WHERE length(seg) > 0").collect()] or [1]
+    labels.select("entry_id", F.lower(fold_accents(F.col("label"))).alias("folded")).createOrReplaceTempView(own("_list_labels"))
+    cut(spark.sql(own(_LABELS.format(edits=EDITS.format("ref")))), "segments").createOrReplaceTempView(own("_list_segs"))
+    lens = [r[0] for r in spark.sql(own("SELECT DISTINCT length(seg) FROM _list_segs WHERE length(seg) > 0")).collect()] or [1]
+    # the list is sent to every task only while its size is known to be small
+    short = spark.table(own("_list_segs")).count() <= MOST_SENT
+    hint = "/*+ BROADCAST(r) */" if short else ""
+    sent = F.broadcast if short else lambda x: x
     cases = cells.where(F.col(text).rlike(r"\p{L}")).join(
-        F.broadcast(labels.select(F.col("label").alias("_literal")).distinct()), F.col(text) == F.col("_literal"), "left_anti")
+        sent(labels.select(F.col("label").alias("_literal")).distinct()), F.col(text) == F.col("_literal"), "left_anti")
     distinct = cases.select(F.col(text).alias("v")).distinct()
-    distinct.select("v", F.translate(F.lower(fold_accents(F.col("v"))), "_", " ").alias("folded")).createOrReplaceTempView("_list_vals")
+    distinct.select("v", F.translate(F.lower(fold_accents(F.col("v"))), "_", " ").alias("folded")).createOrReplaceTempView(own("_list_vals"))
     wide = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be coalesced
-    cut(spark.sql(_SHAPES).repartition(wide), "shapes").createOrReplaceTempView("_list_shapes")
-    best = cut(spark.sql(_MATCH.format(lens=f"array({', '.join(map(str, sorted(lens)))})")), "list-matches")
+    cut(spark.sql(own(_SHAPES)).repartition(wide), "shapes").createOrReplaceTempView(own("_list_shapes"))
+    best = cut(spark.sql(own(_MATCH.format(hint=hint, lens=f"array({', '.join(map(str, sorted(lens)))})"))), "list-matches")
     keyed = cases.withColumnRenamed(text, "v")
     found = keyed.join(best, "v")
     missed = keyed.join(best, "v", "left_anti").withColumn("entry_id", F.lit(0))
