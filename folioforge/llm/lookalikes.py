@@ -23,7 +23,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioforge.functions.folding import char_class
+from folioforge.functions.folding import char_class, text_map
 
 # Letters of other alphabets with the shape of a Latin letter.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјкорсухԁһԛԝүѵ"
@@ -36,13 +36,13 @@ CYR_IN_CYR = "АВЕЅІЈКМНОРСТУХаеѕіјкорсухё"
 GREEK_IN_CYR = "ΑΒΕΗΙΚΜΟΡΤΧαιορ"
 CYR_FOR_GREEK = "АВЕНІКМОРТХаіор"
 # Signs without width.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 # Ligatures of plain letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 BLANKS = "".join(chr(c) for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) == "Zs")
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-HYPHENS = "‐‑"
+HYPHENS = "\u2010\u2011"
 
 SUSPECT = char_class(set(INVISIBLE + BLANKS + WIDE + HYPHENS + "".join(LIGATURES)))[:-1] + r"\p{IsCyrillic}\p{IsGreek}\p{Mn}]"
 _OWN_CYR = r"[\p{IsCyrillic}&&[^" + "".join(f"\\x{{{ord(c):x}}}" for c in CYRILLIC) + "]]"
@@ -65,7 +65,7 @@ def composed_pairs() -> dict[str, str]:
 
 def compose(text: Column) -> Column:
     """Composed letters, cluster by cluster."""
-    pairs = F.create_map(*[F.lit(x) for kv in composed_pairs().items() for x in kv])
+    pairs = text_map(composed_pairs())
     clusters = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}\p{Mn}+"), F.lit(0)))
     done = F.aggregate(clusters, text, lambda t, c: F.replace(t, c, F.coalesce(F.element_at(pairs, c), c)))
     return F.when(text.rlike(r"\p{Mn}"), done).otherwise(text)
