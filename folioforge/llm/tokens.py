@@ -7,30 +7,27 @@ opened once per Python worker. A NULL text has 0 tokens.
 from __future__ import annotations
 
 import base64
-import importlib.util
 from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# How the public byte-level vocabularies split a text before pairs are merged.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longer texts are encoded in pieces cut before a blank, which no token crosses.
 PIECE = 100_000
 
 
 @lru_cache(maxsize=4)
 def encoding(path: str):
-    """The tokenizer of a rank file; its split pattern stands beside it."""
+    """The tokenizer of a rank file."""
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("_public_tokenizers", Path(path).parent / "__init__.py")
-    beside = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(beside)
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding("public", pat_str=beside.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
