@@ -54,7 +54,7 @@ def vectors(names: DataFrame) -> DataFrame:
 
 def cosine_pairs(vec: DataFrame, least: float = COSINE) -> DataFrame:
     """(a, b, cosine) of the pairs that share weighted features, a < b."""
-    # products in whole parts of a billionth of a thousandth: sums that do not depend on their order, and less to shuffle
+    # products in units of 1e-12: sums that do not depend on their order, and less to shuffle
     left = vec.select("feature", F.col("id").alias("a"), F.col("w").alias("wa"))
     right = vec.select("feature", F.col("id").alias("b"), F.col("w").alias("wb"))
     return (
