@@ -320,3 +320,20 @@ def _authors(text: Column, parts: Column) -> Column:
     commas = tidy(",")
     full = ~joined.contains("&") & (F.size(commas) >= 2) & F.forall(commas, lambda x: F.size(words(x)) >= 2)
     return F.when(shared, F.array(clean(F.concat_ws(" ", one, root)), clean(F.concat_ws(" ", two, root)))).when(full, commas).otherwise(tidy("&"))
+
+
+def distinct_labels(c: Column) -> Column:
+    """Labels of one text between commas, semicolons, bars and line ends, the first of each match text."""
+    return first_labels(F.split(F.coalesce(c, F.lit("")), r"[,;|\n]+"))
+
+
+def first_labels(labels: Column) -> Column:
+    """Cleaned labels, the first of each match text; those without one are left out."""
+    parts = F.filter(F.transform(labels, clean), lambda x: match_text(x) != "")
+    return let(parts, lambda p: let(F.transform(p, match_text), lambda keys: F.filter(p, lambda x, i: F.array_position(keys, F.try_element_at(keys, i + 1)) == i + 1)))
+
+
+def series_index(volume: Column) -> Column:
+    """``2.05`` of a volume; empty for NULL and 0.00."""
+    minor = F.when(F.length(F.coalesce(volume["minor"], F.lit(""))) < 2, F.lpad(F.coalesce(volume["minor"], F.lit("")), 2, "0")).otherwise(volume["minor"])
+    return F.when(volume.isNull() | ((volume["major"] == 0) & (minor == "00")), "").otherwise(F.concat(volume["major"].cast("string"), F.lit("."), minor))

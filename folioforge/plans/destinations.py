@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioforge.functions.text import STANDALONE, format_volume, sanitize_component, trim_title, with_genre
+from folioforge.functions.text import STANDALONE, UNKNOWN_AUTHOR, clean, extract_isbns, format_volume, sanitize_component, trim_title, with_genre
+from folioforge.functions.titles import first_labels, series_index
 from folioforge.operators.records import needs_review
 
 # Statuses of a finished file, formats whose metadata can be written, the column order of the report.
@@ -203,3 +204,19 @@ def conversion_source(files: DataFrame, folder: str, stem: str) -> DataFrame:
     best = files.groupBy(folder, low.alias("stem")).agg(F.max_by("path", F.struct(worth, "size", F.lower("path"))).alias("path"))
     return best.withColumn("action", F.when(F.lower("path").endswith(".epub"), "move").otherwise("convert"))
 
+
+
+def metadata_updates(records: DataFrame, key: str, tags: str | None = None) -> DataFrame:
+    """(key, title, creators, series, series_index, subjects, isbns, other_ids) to be written into each record's file.
+
+    Creators are the ``&`` parts of the author; a standalone has no series;
+    subjects are the genre and the extra ``tags`` (a text of labels), each once.
+    """
+    c = F.col
+    none = F.array().cast("array<string>")
+    people = F.filter(F.transform(F.split(F.coalesce("author", F.lit("")), "&"), clean), lambda x: (x != "") & (x != UNKNOWN_AUTHOR))
+    alone = F.coalesce("series", F.lit("")).isin("", STANDALONE)
+    labels = F.concat(F.array(F.coalesce("genre", F.lit(""))), F.split(F.coalesce(c(tags), F.lit("")), r"[,;|\n]+") if tags else none)
+    return records.select(key, clean(c("title")).alias("title"), people.alias("creators"), F.when(~alone, c("series")).alias("series"), F.when(~alone, F.nullif(series_index(c("volume")), F.lit(""))).alias("series_index"),
+                          first_labels(labels).alias("subjects"), extract_isbns(F.coalesce("identifiers", none)).alias("isbns"),
+                          F.filter(F.coalesce("identifiers", none), lambda x: (F.size(extract_isbns(F.array(x))) == 0) & x.contains(":")).alias("other_ids"))

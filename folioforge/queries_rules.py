@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioforge.functions import text as t, titles
-from folioforge.operators import authors, candidates, existing_names as names, local_names, online, records
+from folioforge.operators import arbitration, authors, candidates, existing_names as names, local_names, online, records, searches, verify
 from folioforge.plans import destinations as plans
 from folioforge.queries import sql_clean, sql_key, sql_match
-from folioforge.runtime import table
+from folioforge.runtime import cut, table
 from folioforge.sources import pages
 from folioforge.streaming import incremental
 
@@ -157,8 +157,6 @@ def author_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, d: str) -> authors.Catalog:
-    from folioforge.runtime import cut
-
     return authors.build_catalog(cut(authors.merge_authors(table(spark, d, "author_rows")), "merged-authors"))
 
 
@@ -543,3 +541,89 @@ def provider_answers(spark: SparkSession, d: str) -> DataFrame:
     bodies = table(spark, d, "online_candidates").select("online_id", F.to_json(F.struct(F.array(item).alias("items"))).alias("body"))
     got = pages.provider_rows(bodies, "online_id", "google-books")
     return got.select("online_id", "title", F.array_join("authors", "|").alias("authors"), F.array_join("identifiers", "|").alias("identifiers"))
+
+
+def _supported(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a book's local record and the online rows of an equal book number or title."""
+    c = F.col
+    b, o = table(spark, d, "books"), _found(spark, d)
+    near = online.equal_pairs(b, o).join(o.withColumn("pos", c("online_id")), "online_id")
+    r = b.select("book_id", F.array_join(t.canonical_authors(F.flatten(F.transform(F.coalesce("creators", F.array()), titles.split_authors))), " & ").alias("author"), F.coalesce("meta_series", F.lit("")).alias("series"), c("meta_volume").alias("volume"), F.coalesce("title", F.lit("")).alias("title"))
+    return verify.with_support(verify.pair_up(r, b, near))
+
+
+@query()
+def verify_flags(spark: SparkSession, d: str) -> DataFrame:
+    """What the online rows of a book confirm of its record."""
+    got = verify.verification(_supported(spark, d))
+    return got.select("book_id", "author_confirmed", "title_confirmed", "series_confirmed", "volume_confirmed", F.array_join("providers", "|").alias("providers"))
+
+
+@query()
+def role_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Authors, titles, series and volumes that strong online rows name for each book."""
+    return verify.role_evidence(_supported(spark, d))
+
+
+def _replies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every record, and a reply to it: some fenced, some broken, some without an object."""
+    c = F.col
+    r = table(spark, d, "records").withColumn("own_title", F.lit(""))
+    body = F.to_json(F.struct(F.lit("Kot Jan").alias("author"), F.lit("").alias("series"), F.concat(F.lit("["), (c("record_id") % 9).cast("string"), F.lit(', "5"]')).alias("volume"), F.lit("Nowy dom").alias("title"), (c("record_id") % 101).alias("confidence")))
+    kind = c("record_id") % 5
+    text = F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Oto wynik: "), body)).when(kind == 2, "brak").when(kind == 3, F.concat(body, F.lit("}"))).otherwise(body)
+    return r, r.select("record_id", text.alias("response_text"))
+
+
+@query("""SELECT record_id, CASE WHEN record_id % 5 = 2 THEN 'no object' WHEN record_id % 5 = 3 THEN 'broken object' ELSE '' END AS error,
+ CASE WHEN record_id % 5 IN (2, 3) THEN -1 ELSE CAST(record_id % 9 AS INT) END AS major, CASE WHEN record_id % 5 IN (2, 3) THEN -1 ELSE CAST(record_id % 101 AS INT) END AS confidence FROM records""")
+def resolver_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Replies read and checked."""
+    a = arbitration.answers(_replies(spark, d)[1], "record_id")
+    bad = F.col("error").isNotNull()
+    return a.select("record_id", F.coalesce("error", F.lit("")).alias("error"), F.when(bad, -1).otherwise(F.col("volume.major")).alias("major"), F.when(bad, -1).otherwise(F.col("confidence")).alias("confidence"))
+
+
+@query(f"""SELECT record_id, CASE WHEN NOT asked THEN '' WHEN record_id % 5 IN (2, 3) THEN 'error' WHEN record_id % 101 < 88 THEN 'below-threshold' ELSE 'applied' END AS state,
+ CASE WHEN asked AND record_id % 5 NOT IN (2, 3) AND record_id % 101 >= 88 THEN 'Kot Jan' ELSE coalesce(author, '') END AS author
+ FROM (SELECT *, confidence < 75 OR {_review} OR coalesce(list_has_any(review_reasons, ['seria-bez-tomu', 'online-brak-potwierdzenia-autora', 'online-brak-potwierdzenia-serii', 'online-brak-potwierdzenia-tomu', 'online-brak-potwierdzenia-tytulu']), false) OR coalesce(list_has_any(notes, ['existing-format:author-recovered-from-title', 'existing-format:trailing-author-reinterpreted']), false) OR author = 'Nieznany Autor' OR coalesce(title, '') IN ('', 'Bez tytulu') OR coalesce(starts_with(source, 'fallback'), false)
+   OR coalesce(len(list_filter(decision_reasons, lambda x: starts_with(x, 'online-verify-') AND ends_with(x, ':no'))) > 0, false) AS asked FROM records)""")
+def arbitration_states(spark: SparkSession, d: str) -> DataFrame:
+    """Every record after arbitration in the mode that applies good answers."""
+    records_, replies = _replies(spark, d)
+    got = arbitration.arbitrate(records_, replies, "record_id", "AUTO")
+    return got.select("record_id", F.coalesce("arbitration", F.lit("")).alias("state"), F.coalesce("author", F.lit("")).alias("author"))
+
+
+@query(f"""WITH x AS (SELECT record_id, unnest(regexp_split_to_array(coalesce(genre, '') || ',' || coalesce(source, '') || ';' || coalesce(genre, ''), '[,;|\\n]+')) AS v, generate_subscripts(regexp_split_to_array(coalesce(genre, '') || ',' || coalesce(source, '') || ';' || coalesce(genre, ''), '[,;|\\n]+'), 1) AS p FROM records),
+ y AS (SELECT record_id, {sql_clean('v')} AS v, {sql_match('v')} AS k, p FROM x), z AS (SELECT record_id, k, arg_min(v, p) AS v, min(p) AS p FROM y WHERE k <> '' GROUP BY ALL)
+ SELECT r.record_id, coalesce((SELECT string_agg(v, '|' ORDER BY p) FROM z WHERE z.record_id = r.record_id), '') AS labels FROM records r""")
+def distinct_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of every record's genre and source as one text, each once."""
+    c = F.col
+    text = F.concat(F.coalesce("genre", F.lit("")), F.lit(","), F.coalesce("source", F.lit("")), F.lit(";"), F.coalesce("genre", F.lit("")))
+    return table(spark, d, "records").select("record_id", F.array_join(titles.distinct_labels(text), "|").alias("labels")).select("record_id", c("labels"))
+
+
+@query("""SELECT record_id, CASE WHEN coalesce(series, '') IN ('', 'Standalone') THEN '' ELSE series END AS series,
+ CASE WHEN coalesce(series, '') IN ('', 'Standalone') OR volume IS NULL OR (volume.major = 0 AND volume.minor = '00') THEN '' ELSE volume.major || '.' || CASE WHEN length(volume.minor) < 2 THEN lpad(volume.minor, 2, '0') ELSE volume.minor END END AS series_index FROM records""")
+def metadata_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Series and place in it as they are to be written into every record's file."""
+    got = plans.metadata_updates(table(spark, d, "records"), "record_id")
+    return got.select("record_id", F.coalesce("series", F.lit("")).alias("series"), F.coalesce("series_index", F.lit("")).alias("series_index"))
+
+
+@query()
+def search_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Searches for every book by its own metadata."""
+    c = F.col
+    b = table(spark, d, "books")
+    author = F.array_join(t.canonical_authors(F.flatten(F.transform(F.coalesce("creators", F.array()), titles.split_authors))), " & ")
+    r = b.select("book_id", author.alias("author"), c("meta_series").alias("series"), c("meta_volume").alias("volume"), titles.strip_leading_index(c("core")).alias("title"), c("title").alias("own_title"), "core", "creators")
+    return searches.search_variants(r, "book_id").select("book_id", "pos", "title", F.array_join("creators", "|").alias("creators"))
+
+
+@query()
+def local_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Search terms of the local catalog for every book."""
+    return searches.local_terms(table(spark, d, "books"), "book_id")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that ``cut`` has written in this process and nobody has released.
+_written: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table (file or directory) of a data directory."""
@@ -32,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="folioforge-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("folioforge.scratch", at)
     return at.rstrip("/")
 
@@ -40,9 +48,31 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The lineage ends at the files, which outlive any executor; the columns keep
-    their types. Used where several later passes read the same rows.
+    their types. Used where several later passes read the same rows. The files
+    stay until ``release`` or the end of a ``scratch`` block: the frames built on
+    them are lazy and may be read at any time before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete what ``cut`` has written, once no frame built on it is needed any more."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for path in list(_written if paths is None else paths):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+        _written.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose intermediate files go when it ends: write or collect the results inside it."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        release(spark, [p for p in _written if p not in before])

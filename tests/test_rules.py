@@ -165,3 +165,52 @@ def test_undo_and_manifest(spark):
     assert sorted(r["size"] for r in plans.skip_processed(files, held).collect()) == [1, 4]
     best = plans.conversion_source(spark.createDataFrame([("f", "Book", "f/Book.txt", 9), ("f", "book", "f/book.azw3", 1)], "folder string, stem string, path string, size long"), "folder", "stem").first()
     assert best["path"] == "f/book.azw3" and best["action"] == "convert"
+
+
+def test_verification(spark):
+    from folioforge.operators import verify
+
+    books = spark.createDataFrame([book(1, "Dom", "Dom", ["Jan Kot"]), book(2, "Las", "Las")], BOOK)
+    records = spark.createDataFrame([(1, "Kot Jan", "Cykl", (2, "00"), "Dom"), (2, "Nieznany Autor", "Standalone", None, "Las")], f"book_id int, author string, series string, volume {V}, title string")
+    rows = [(1, 1, "google-books", 320, "title-author-exact", "Dom", ["J. Kot", "Jan Kot"], None, None, None), (1, 2, "lubimyczytac", 300, "title-exact", "Dom", ["Jan Kot"], "Cykl", (2, "00"), "detail"),
+            (1, 3, "crossref", 300, "title-exact", "Dom", ["Jan Kot"], None, None, None), (2, 4, "open-library", 200, "title-exact", "Las", ["Ewa Lis"], "Gora", (1, "00"), "search"), (2, 5, "crossref", 100, "approx", "Inny tytul", None, None, None, None)]
+    found = spark.createDataFrame(rows, f"book_id int, pos int, provider string, score int, reason string, title string, authors array<string>, series string, volume {V}, cycle_source string")
+    pairs = verify.with_support(verify.pair_up(records, books, found))
+    assert {r["pos"]: r["supports"] for r in pairs.collect()} == {1: True, 2: True, 3: True, 4: True, 5: False}
+    got = {r["book_id"]: tuple(r)[1:] for r in verify.verification(pairs).collect()}
+    assert got == {1: (True, True, True, True, ["google-books", "lubimyczytac"]), 2: (False, True, False, False, ["open-library", "crossref"])}
+    said = {(r["book_id"], r["role"], r["label"]) for r in verify.role_evidence(pairs).collect()}
+    assert (1, "series", "Cykl") in said and (1, "volume", "2.00") in said and (2, "author", "Lis Ewa") in said and not any(x[1] == "series" and x[0] == 2 for x in said)
+    assert verify.verification(pairs.limit(0)).count() == 0
+
+
+def test_arbitration(spark):
+    from folioforge.operators import arbitration
+
+    cols = f"i int, author string, series string, volume {V}, title string, genre string, source string, confidence int, notes array<string>, review_reasons array<string>, decision_reasons array<string>, own_title string"
+    records = spark.createDataFrame([(1, "Nieznany Autor", "Standalone", None, "Dom", "", "fallback", 40, [], ["nieznany-autor", "inne"], None, "Dom"), (2, "Kot Jan", "Cykl", (1, "00"), "Las", "", "opf", 90, None, None, None, None),
+                                     (3, "Kot Jan", "Cykl", None, "Las", "", "opf", 90, [], ["seria-bez-tomu"], [], "Las"), (4, "A B", "S", None, "", "", "x", 10, [], [], [], "")], cols)
+    replies = spark.createDataFrame([(1, '```json\n{"author":"Lis Ewa","series":"Cykl","volume":[2,"5"],"title":"Dom","confidence":95,"decision_reasons":["x"]}\n```'), (3, '{"author":"Kot Jan","title":"kot jan","confidence":99}'), (4, "nic")], "i int, response_text string")
+    got = {r["i"]: r for r in arbitration.arbitrate(records, replies, "i", "AUTO").collect()}
+    assert got[1]["arbitration"] == "applied" and got[1]["author"] == "Lis Ewa" and tuple(got[1]["volume"]) == (2, "05") and got[1]["review_reasons"] == ["inne"] and got[1]["decision_reasons"] == ["x", "ai-local:auto-applied"]
+    assert got[2]["arbitration"] is None and got[3]["arbitration"] == "error" and got[4]["arbitration"] == "error"
+    assert {r["i"]: r["arbitration"] for r in arbitration.arbitrate(records, replies, "i", "ASSIST").collect()} == {1: "suggested", 2: None, 3: "error", 4: "error"}
+    assert arbitration.requests(records, "i").count() == 3 and {r["i"]: r["error"] for r in arbitration.answers(replies, "i").collect()} == {1: None, 3: "title equals author", 4: "no object"}
+
+
+def test_searches_and_updates(spark):
+    from folioforge.operators import searches
+
+    rows = [(1, "Kot Jan", "Cykl", (2, "00"), "Dom", "Dom wielki", "Kot Jan - Dom nad rzeka", ["Jan Kot"]), (2, "Nieznany Autor", "Standalone", None, "Las", None, "Las", None), (3, None, None, None, None, None, None, None)]
+    r = spark.createDataFrame(rows, f"i int, author string, series string, volume {V}, title string, own_title string, core string, creators array<string>")
+    got = {(x["i"], x["pos"]): (x["title"], x["creators"]) for x in searches.search_variants(r, "i").collect()}
+    assert got[1, 0] == ("Dom", ["Jan Kot", "Kot Jan"]) and got[1, 1][0] == "Cykl Dom" and got[1, 2] == ("Dom nad rzeka", []) and got[1, 3][0] == "Dom wielki" and got[2, 0] == ("Las", []) and not any(k[0] == 3 for k in got)
+    b = spark.createDataFrame([(1, 'Dom. Las "x" (y)', "c", ["Jan van Kot"]), (2, None, None, None)], "i int, title string, core string, creators array<string>")
+    terms = [x["term"] for x in searches.local_terms(b, "i").orderBy("pos").collect()]
+    assert terms[-1] == "Dom" and any(x.startswith("Kot ") for x in terms) and len(set(terms)) == len(terms)
+    rec = spark.createDataFrame([(1, "Kot Jan & Lis Ewa", "Cykl", (2, "5"), "Dom", "fantasy", ["isbn:9781234567897", "goodreads:12"], "Fantasy, magia;x"), (2, None, "Standalone", (1, "00"), None, None, None, None)],
+                                f"i int, author string, series string, volume {V}, title string, genre string, identifiers array<string>, tags string")
+    u = {x["i"]: x for x in plans.metadata_updates(rec, "i", "tags").collect()}
+    assert u[1]["creators"] == ["Kot Jan", "Lis Ewa"] and u[1]["series_index"] == "2.05" and u[1]["subjects"] == ["fantasy", "magia", "x"] and u[1]["isbns"] == ["9781234567897"] and u[1]["other_ids"] == ["goodreads:12"]
+    assert u[2]["series"] is None and u[2]["creators"] == []
+    assert one(spark, titles.distinct_labels, " Killim, Killim ;  Arka |  ") == ["Killim", "Arka"]
