@@ -188,6 +188,21 @@ def p10_distance(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_survivors, p4_found, p4_collapsed, p5_found, p6_found, p7_found, p7_confidence, online_rank, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_distance)}
 
+def _survivors_sql() -> str:
+    """Votes of trust times decay, summed per value that differs in case and blanks only."""
+    long = " UNION ALL ".join(f"SELECT group_key, row_id, vote, '{f}' AS field, {f} AS value FROM v" for f in NAME_FIELDS)
+    shown = ", ".join(f"max(CASE WHEN field = '{f}' THEN value END) AS {f}" for f in NAME_FIELDS)
+    return f"""
+        WITH t AS (SELECT max(epoch_us(seen_at)) / 1e6 AS hi, min(epoch_us(seen_at)) / 1e6 AS lo FROM author_rows),
+        v AS (SELECT group_key, row_id, {', '.join(NAME_FIELDS)}, (1.0::DOUBLE / (1.0 + coalesce(source_rank, 99))) * (2.0 + coalesce(confidence_rank, -1))
+                * pow(0.5::DOUBLE, coalesce(hi - epoch_us(seen_at) / 1e6, hi - lo + 31536000.0) / 31536000.0) AS vote FROM author_rows, t WHERE group_key <> ''),
+        n AS (SELECT *, trim(regexp_replace(lower(value), '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g'), ' ') AS norm FROM ({long}) WHERE regexp_matches(value, '\\pL')),
+        s AS (SELECT group_key, field, norm, sum(vote) AS votes, min(row_id) AS first, arg_min(value, row_id) AS value FROM n GROUP BY ALL),
+        w AS (SELECT group_key, field, value FROM s QUALIFY row_number() OVER (PARTITION BY group_key, field ORDER BY round(votes, 9) DESC, first) = 1),
+        g AS (SELECT group_key, count(*) AS n_rows FROM author_rows WHERE group_key <> '' GROUP BY group_key)
+        SELECT g.group_key, n_rows, {shown} FROM g LEFT JOIN w ON w.group_key = g.group_key GROUP BY g.group_key, n_rows"""
+
+
 ORACLES = {
     "p3_found": " UNION ALL ".join(f"""
         SELECT group_key, '{f}' AS field, row_id FROM (
@@ -195,6 +210,7 @@ ORACLES = {
             confidence_rank DESC NULLS LAST, author_len DESC NULLS LAST, row_id) AS rn
           FROM author_rows WHERE regexp_matches({f}, '\\pL') AND group_key IN (
             SELECT group_key FROM author_rows WHERE group_key <> '' GROUP BY 1 HAVING count(*) >= 2)) WHERE rn = 1""" for f in NAME_FIELDS),
+    "p3_survivors": _survivors_sql(),
     "p4_found": """
         WITH c AS (SELECT row_id, group_key, array_to_string(list_sort(regexp_extract_all(lower(author_raw), '[\\pL\\p{Nd}]+')), ' ') AS w
                    FROM author_rows WHERE group_key <> '' AND regexp_matches(author_raw, '\\pL')),
