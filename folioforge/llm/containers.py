@@ -3,8 +3,9 @@
 Documents are hashed into shards of bounded size, each packed on its own:
 lengths above a share of the capacity are sorted, cut into groups of equal
 cardinality and rounded up to the largest of their group; configurations of
-those few sizes are chosen by exact subset-sum over the sizes still available
-and used as often as the stock allows. Actual documents replace the rounded
+those few sizes are optimised over the whole stock by a linear programme with
+columns made on demand, used as often as its whole numbers say, and for the rest
+chosen one at a time as the fullest the stock allows. Actual documents replace the rounded
 sizes, the last of a container by the space really free, and what then stays
 free is filled best-fit by the small documents, the longest first. Every document is placed once per container kind.
 
@@ -53,8 +54,72 @@ def _fullest(sizes: list[int], left: list[int], cap: int) -> list[int]:
     return picked
 
 
+def _best_configuration(sizes: list[int], price: np.ndarray, cap: int) -> tuple[float, np.ndarray]:
+    """Worth and counts of the configuration within ``cap`` worth most at the prices.
+
+    Large sizes leave room for few items, so one pass per item over all fills is enough.
+    """
+    best, steps = np.zeros(cap + 1), []
+    for _ in range(cap // min(sizes)):
+        worth, pick = best.copy(), np.full(cap + 1, -1)
+        for g, size in enumerate(sizes):
+            more = best[: cap + 1 - size] + price[g]
+            better = more > worth[size:] + 1e-12
+            worth[size:][better], pick[size:][better] = more[better], g
+        if (pick < 0).all():
+            break
+        steps.append(pick)
+        best = worth
+    counts, at = np.zeros(len(sizes), int), int(best.argmax())
+    for pick in reversed(steps):
+        if pick[at] >= 0:
+            counts[pick[at]] += 1
+            at -= sizes[pick[at]]
+    return float(best.max()), counts
+
+
+def configurations(sizes: list[int], stock: list[int], cap: int, most: int = 400) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used in the cheapest fractional filling of the whole stock.
+
+    The linear programme has one row per size and a column for every configuration
+    there could be; columns are made as their price asks for them. The basis starts
+    with containers of one size each.
+    """
+    keep = [g for g in range(len(sizes)) if stock[g] > 0]
+    if not keep:
+        return []
+    own, need = [sizes[g] for g in keep], np.array([stock[g] for g in keep], float)
+    basis = np.diag([float(cap // x) for x in own])
+    for _ in range(most):
+        inverse = np.linalg.inv(basis)
+        used, price = inverse @ need, np.ones(len(own)) @ inverse
+        worth, column = _best_configuration(own, np.maximum(price, 0.0), cap)
+        if worth <= 1 + 1e-9:
+            break
+        step = inverse @ column
+        ratio = np.where(step > 1e-9, used / np.where(step > 1e-9, step, 1.0), np.inf)
+        if not np.isfinite(ratio).any():
+            break
+        basis[:, int(ratio.argmin())] = column
+    used = np.linalg.inv(basis) @ need
+    out = []
+    for j in range(len(own)):
+        counts = np.zeros(len(sizes), int)
+        counts[keep] = np.rint(basis[:, j]).astype(int)
+        out.append((counts, max(0.0, float(used[j]))))
+    return sorted(out, key=lambda x: (-int(x[0] @ np.array(sizes)), tuple(-x[0])))
+
+
 def pack(lengths: list[int], cap: int, groups: int = GROUPS, large: float = LARGE) -> list[list[tuple[int, int, int, int]]]:
-    """Containers as lists of (item, piece, from_token, tokens)."""
+    """Containers as lists of (item, piece, from_token, tokens).
+
+    Both ways are packed, the optimised configurations and the fullest one at a
+    time, which leaves fewer odd gaps where small documents abound; the fewer containers count.
+    """
+    return min((_pack(lengths, cap, groups, large, best) for best in (True, False)), key=len)
+
+
+def _pack(lengths: list[int], cap: int, groups: int, large: float, optimised: bool) -> list[list[tuple[int, int, int, int]]]:
     bins: list[list[tuple[int, int, int, int]]] = []
     items: list[tuple[int, int, int, int]] = []
     for i, n in enumerate(lengths):
@@ -88,19 +153,29 @@ def pack(lengths: list[int], cap: int, groups: int = GROUPS, large: float = LARG
         left[k // per] -= 1
         return items[k]
 
-    while pool:
+    def fill(config: list[int]) -> None:
+        """One container: of each slot the longest document its rounded size allows, the last by what is really free."""
+        content, free = [], cap
+        for g in config[:-1]:
+            if got := take(min(sizes[g], free)):
+                content.append(got)
+                free -= got[3]
+        while got := take(free):
+            content.append(got)
+            free -= got[3]
+        open_bin(content)
+
+    for counts, used in configurations(sizes, left, cap) if optimised else ():
+        config = [g for g in range(len(sizes)) for _ in range(counts[g])]
+        for _ in range(int(used)):
+            if not pool or any(left[g] < counts[g] for g in set(config)):
+                break
+            fill(config)
+    while pool:  # what whole numbers of the programme leave over
         config = _fullest(sizes, left, cap)
         need = np.bincount(config, minlength=len(sizes))
         while pool and all(left[g] >= need[g] for g in set(config)):
-            content, free = [], cap
-            for g in config[:-1]:  # the longest that its rounded size allows, the last slot by what is really free
-                if got := take(min(sizes[g], free)):
-                    content.append(got)
-                    free -= got[3]
-            while got := take(free):
-                content.append(got)
-                free -= got[3]
-            open_bin(content)
+            fill(config)
     for x in items[n_large:]:
         at = bisect_left(gaps, (x[3], -1))
         if at == len(gaps):

@@ -18,3 +18,16 @@ def test_too_many_function_words_are_an_error(spark):
     words = spark.range(100_001).select(F.lit("pl").alias("lang"), F.col("id").cast("string").alias("word"))
     with pytest.raises(ValueError, match="function words"):
         statistics(docs, words)
+
+
+def test_configurations_are_optimal():
+    """Sizes 6 and 4 in containers of 10, 7 and 5 of which nothing fits with another: the programme pairs what fits."""
+    from folioforge.llm.containers import configurations, pack
+
+    got = configurations([6, 4], [10, 10], 10)
+    assert abs(sum(u for _, u in got) - 10) < 1e-6
+    used = sum(c * u for c, u in got)
+    assert all(abs(used - 10) < 1e-6) or (used >= 10 - 1e-6).all()
+    assert configurations([5], [0], 10) == [] and abs(sum(u for _, u in configurations([7], [3], 10)) - 3) < 1e-6
+    thirds = [34] * 30 + [33] * 60
+    assert len(pack(sorted(thirds), 100)) == 30
