@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioforge.functions import text as t, titles
 from folioforge.operators import arbitration, authors, candidates, existing_names as names, local_names, online, records, searches, verify
 from folioforge.plans import destinations as plans
-from folioforge.queries import sql_clean, sql_key, sql_match
+from folioforge.queries import sql_clean, sql_fold, sql_key, sql_match
 from folioforge.runtime import cut, table
 from folioforge.sources import pages
 from folioforge.streaming import incremental
@@ -156,23 +156,58 @@ def author_merge(spark: SparkSession, d: str) -> DataFrame:
     return authors.merge_authors(table(spark, d, "author_rows")).select("group_key", "n_rows", "author_first_last", "author_last_first", "author_raw", "source")
 
 
+def sql_catalog_name(x: str) -> str:
+    """Cleaned name; dots after lone letters go. Neighbouring letters share a blank, hence twice."""
+    once = lambda y: f"regexp_replace({y}, '(^|[^\\pL\\pN_])(\\pL)\\.(\\s|$)', '\\1\\2\\3', 'g')"
+    return once(once(sql_clean(x)))
+
+
+def _catalog_sql(tail: str) -> str:
+    given = ", ".join(map(_lit, authors.GIVEN_NAMES))
+    ranks = "CASE lower(trim(source)) " + " ".join(f"WHEN {_lit(k)} THEN {v}" for k, v in authors.CATALOG_RANK.items()) + " ELSE 99 END"
+    form = lambda pos, x: f"SELECT id, {pos} AS pos, {sql_catalog_name(x)} AS name FROM c"
+    alias = lambda x: f"SELECT id, {sql_catalog_name(x)} AS alias FROM c"
+    return f"""
+WITH merged AS ({_merge_sql()}),
+c AS (SELECT row_number() OVER (ORDER BY group_key) AS id, {ranks} AS rk, {sql_clean('author_first_last')} AS fl, {sql_clean('author_last_first')} AS lf, {sql_clean('author_raw')} AS raw FROM merged),
+f AS ({form(0, 'fl')} UNION ALL {form(1, 'raw')} UNION ALL {form(2, sql_last_first('lf'))} UNION ALL {form(3, sql_last_first('raw'))}),
+w AS (SELECT id, pos, name, list_transform(string_split(name, ' '), lambda q: lower(q)) AS p FROM f WHERE name <> ''),
+pref AS (SELECT id, name AS preferred FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN p[1] IN ({given}) THEN 2 ELSE 0 END DESC,
+   CASE WHEN p[-1] IN ({given}) THEN -1 ELSE 0 END DESC, len(list_filter(p, lambda q: length(q) = 1)), length(name) DESC, pos) = 1),
+r AS (SELECT c.*, preferred, coalesce(nullif({sql_key('fl')}, ''), nullif({sql_key('lf')}, ''), {sql_key('raw')}) AS gk FROM c JOIN pref USING (id)),
+canon AS (SELECT gk, preferred AS canonical FROM r WHERE gk <> '' QUALIFY row_number() OVER (PARTITION BY gk ORDER BY rk, length(fl) DESC, length(preferred) DESC, preferred) = 1),
+a AS ({' UNION '.join(alias(x) for x in ('fl', 'lf', 'raw', sql_last_first('fl'), sql_last_first('raw')))}),
+k AS (SELECT alias, {sql_key('alias')} AS alias_key, canonical, rk, length(fl) AS n FROM a JOIN r USING (id) JOIN canon USING (gk) WHERE alias <> ''),
+best AS (SELECT alias_key, canonical FROM k WHERE alias_key <> '' QUALIFY row_number() OVER (PARTITION BY alias_key ORDER BY rk, n DESC, canonical) = 1)
+{tail}"""
+
+
 def _catalog(spark: SparkSession, d: str) -> authors.Catalog:
     return authors.build_catalog(cut(authors.merge_authors(table(spark, d, "author_rows")), "merged-authors"))
 
 
-@query()
+@query(_catalog_sql("SELECT alias_key, canonical FROM best"))
 def author_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Alias keys of all merged authors; tested against fixed cases."""
+    """Alias keys of all merged authors."""
     return _catalog(spark, d).aliases
 
 
-@query()
+_letters = f"list_transform(string_split(alias, ' '), lambda q: regexp_extract(lower({sql_fold('q')}), '\\pL', 0))"
+
+
+@query(_catalog_sql(f"""SELECT initials, string_agg(canonical, '|' ORDER BY length(canonical), canonical) AS authors FROM (SELECT DISTINCT array_to_string({_letters}, '') AS initials, canonical FROM k
+  WHERE len(string_split(alias, ' ')) BETWEEN 2 AND 5 AND len(list_filter({_letters}, lambda q: q = '')) = 0) WHERE initials <> '' GROUP BY initials"""))
 def catalog_initials(spark: SparkSession, d: str) -> DataFrame:
     """Authors by their initials, shortest first."""
     return _catalog(spark, d).initials.select("initials", F.array_join("authors", "|").alias("authors"))
 
 
-@query()
+@query(_catalog_sql(f"""SELECT record_id, author, canonical FROM (
+  SELECT record_id, author, canonical, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN p[1] IN ({', '.join(map(_lit, authors.GIVEN_NAMES))}) THEN 2 ELSE 0 END DESC, CASE WHEN p[-1] IN ({', '.join(map(_lit, authors.GIVEN_NAMES))}) THEN -1 ELSE 0 END DESC,
+    len(list_filter(p, lambda q: length(q) = 1)), length(canonical) DESC, probe) AS rn FROM (
+    SELECT x.record_id, x.author, x.probe, b.canonical, list_transform(string_split(coalesce(b.canonical, ''), ' '), lambda q: lower(q)) AS p FROM (
+      SELECT record_id, author, 0 AS probe, {sql_catalog_name('author')} AS form FROM records UNION ALL SELECT record_id, author, 1, {sql_catalog_name(sql_last_first(sql_catalog_name('author')))} FROM records) x
+    LEFT JOIN best b ON b.alias_key = {sql_key('x.form')} AND b.canonical IS NOT NULL) QUALIFY canonical IS NOT NULL OR probe = 0) WHERE rn = 1"""))
 def resolve_record_authors(spark: SparkSession, d: str) -> DataFrame:
     """Known author of every record's author field."""
     return authors.resolve(table(spark, d, "records").select("record_id", "author"), "author", _catalog(spark, d).aliases)
