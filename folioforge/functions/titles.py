@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from folioforge.functions.text import clean, clean_series, let, match_text, most_alike, parse_volume, volume_pattern
+from folioforge.functions.text import SURNAME_PARTICLES, clean, clean_series, last_first, let, match_text, most_alike, parse_volume, volume_pattern
 
 # Parts of patterns and whole patterns that decide what counts as a volume, a series or noise.
 VOLUME = r"(?:\d+(?:\.\d+)?|[IVXLCDM]+)"
@@ -337,3 +337,35 @@ def series_index(volume: Column) -> Column:
     """``2.05`` of a volume; empty for NULL and 0.00."""
     minor = F.when(F.length(F.coalesce(volume["minor"], F.lit(""))) < 2, F.lpad(F.coalesce(volume["minor"], F.lit("")), 2, "0")).otherwise(volume["minor"])
     return F.when(volume.isNull() | ((volume["major"] == 0) & (minor == "00")), "").otherwise(F.concat(volume["major"].cast("string"), F.lit("."), minor))
+
+
+def display_name(c: Column) -> Column:
+    """Given names first, of a name in last-first form: the shortest given part whose turning gives the name again; else the name."""
+
+    def turned(name: Column) -> Column:
+        w = words(name)
+        n = F.size(w)
+        cuts = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct((n - i).alias("n"), F.element_at(w, F.least(i + 1, n)).alias("first"), clean_author(F.concat_ws(" ", F.slice(w, i + 1, n), F.slice(w, F.lit(1), i))).alias("x")))
+        fits = F.filter(cuts, lambda k: ~F.rtrim(F.lower(k["first"]), F.lit(".")).isin(SURNAME_PARTICLES) & (match_text(last_first(k["x"])) == match_text(name)))
+        best = F.array_min(F.transform(fits, lambda k: F.struct(k["n"].alias("n"), F.length(k["x"]).alias("m"), k["x"].alias("x"))))
+        return F.when(n < 2, name).otherwise(F.coalesce(best["x"], name))
+
+    return let(clean_author(c), turned)
+
+
+def author_shape(authors: Column) -> Column:
+    """struct<parts, long, letters> of ``&``-joined authors: names, words of three letters, letters less two per initial; particles do not count."""
+    names = F.filter(F.transform(split_authors(authors), clean_author), lambda x: x != "")
+
+    def shape(parts: Column) -> Column:
+        real = F.filter(F.flatten(F.transform(parts, words)), lambda w: ~F.rtrim(F.lower(w), F.lit(".")).isin(SURNAME_PARTICLES))
+        sizes = F.filter(F.transform(real, lambda w: F.length(F.regexp_replace(bare(w), r"(?U)\d", ""))), lambda k: k > 0)
+        return let(sizes, lambda k: F.struct(F.size(parts).alias("parts"), F.size(F.filter(k, lambda x: x >= 3)).alias("long"), (F.aggregate(k, F.lit(0), lambda s, x: s + x) - 2 * F.size(F.filter(k, lambda x: x == 1))).alias("letters")))
+
+    return let(names, shape)
+
+
+def keeps_authors(current: Column, candidate: Column) -> Column:
+    """Whether several authors are kept against a candidate with fewer names, fewer long words or clearly fewer letters."""
+    pair = F.struct(author_shape(current).alias("a"), author_shape(candidate).alias("b"))
+    return let(pair, lambda p: (p["a"]["parts"] >= 2) & (p["b"]["parts"] > 0) & ((p["b"]["parts"] < p["a"]["parts"]) | (p["b"]["long"] < p["a"]["long"]) | (p["b"]["letters"] + 3 < p["a"]["letters"])))

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from folioforge.functions.text import SURNAME_PARTICLES, clean, fold_text, key_of, last_first
+from folioforge.functions.text import SURNAME_PARTICLES, clean, fold_text, key_of, last_first, let
 from folioforge.functions.titles import bare, words
+from folioforge.runtime import cut
 
 # Trust ranks of compacted sources, for the merge and for the catalog, and of confidence words.
 MERGE_RANK = {"lc": 0, "ol": 1}
@@ -187,14 +188,17 @@ def catalog(merged: DataFrame) -> DataFrame:
 
 def joins_words(query: Column, canonical: Column) -> Column:
     """Whether the query is the canonical name with words after the first run together, none of them a particle."""
-    q, k = words(catalog_name(query)), words(catalog_name(canonical))
+    return let(F.struct(words(catalog_name(query)).alias("q"), words(catalog_name(canonical)).alias("k"), (key_of(query) == key_of(canonical)).alias("same")), lambda v: v["same"] & _joined(v["q"], v["k"]))
+
+
+def _joined(q: Column, k: Column) -> Column:
     ends = lambda parts: F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.length(F.array_join(F.transform(F.slice(parts, F.lit(1), i), key_of), "")))
-    at_q, at_k = ends(q), ends(k)
+    return F.size(q).between(2, F.size(k) - 1) & let(F.struct(ends(q).alias("q"), ends(k).alias("k")), lambda at: _merges(k, at["q"], at["k"]))
+
+
+def _merges(k: Column, at_q: Column, at_k: Column) -> Column:
     merged = F.zip_with(k, F.transform(at_k, lambda e, i: ~F.array_contains(at_q, e) | ((i > 0) & ~F.array_contains(at_q, F.coalesce(F.try_element_at(at_k, i), F.lit(0))))), lambda w, m: m & F.lower(w).isin(SURNAME_PARTICLES))
-    return (
-        F.size(q).between(2, F.size(k) - 1) & (key_of(query) == key_of(canonical)) & (F.try_element_at(at_q, F.lit(1)) == F.try_element_at(at_k, F.lit(1)))
-        & (F.size(F.array_except(at_q, at_k)) == 0) & ~F.exists(merged, lambda m: m)
-    )
+    return (F.try_element_at(at_q, F.lit(1)) == F.try_element_at(at_k, F.lit(1))) & (F.size(F.array_except(at_q, at_k)) == 0) & ~F.exists(merged, lambda m: m)
 
 
 def resolve(texts: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
@@ -207,8 +211,8 @@ def resolve(texts: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     held = texts.select(F.col(column).alias("_text")).where("_text is not null").distinct()
     forms = held.select("_text", catalog_name(c("_text")).alias("_plain")).where("_plain <> ''")
     forms = forms.select("_text", F.posexplode(F.array_distinct(F.array("_plain", catalog_name(last_first(c("_plain")))))).alias("_probe", "_form"))
-    hit = forms.select("_text", "_probe", "_form", key_of(c("_form")).alias("alias_key")).join(aliases, "alias_key")
-    turned = catalog_name(last_first(c("_form")))
+    hit = cut(forms.select("_text", "_probe", "_form", catalog_name(last_first(c("_form"))).alias("_turned"), key_of(c("_form")).alias("alias_key")).join(aliases, "alias_key"), "alias-hits")
+    turned = c("_turned")
     own = best_form(F.array(F.when(joins_words(c("_form"), c("canonical")), c("_form")).otherwise(""), F.when(joins_words(turned, c("canonical")), turned).otherwise("")))
     shown = hit.select("_text", "_probe", F.when(own == "", c("canonical")).otherwise(own).alias("_name"))
     best = shown.groupBy("_text").agg(F.max_by("_name", F.struct(form_score(c("_name")), -c("_probe"))).alias("canonical"))
@@ -232,7 +236,7 @@ def known_ends(texts: DataFrame, key: str, column: str, known: Catalog, suffix:
     n, size = c("n"), F.size("w")
     author = F.slice("w", size - n + 1, n) if suffix else F.slice("w", F.lit(1), n)
     rest = F.slice("w", F.lit(1), size - n) if suffix else F.slice("w", n + 1, size)
-    rows = rows.select(key, "n", F.concat_ws(" ", author).alias("span"), clean(F.concat_ws(" ", rest)).alias("title")).where("title <> ''")
+    rows = cut(rows.select(key, "n", F.concat_ws(" ", author).alias("span"), clean(F.concat_ws(" ", rest)).alias("title")).where("title <> ''"), "name-ends")
     got = resolve(may_be_authors(rows, "span", known), "span", known.aliases).where("canonical is not null")
     return got.groupBy(key).agg(F.max_by(F.struct(c("canonical").alias("author"), "title"), "n").alias("b")).select(key, "b.*")
 
@@ -290,11 +294,12 @@ def known_authors(texts: DataFrame, key: str, column: str, known: Catalog) -> Da
     none = F.array().cast("array<struct<stage:int,start:int,stop:int,piece:string>>")
     every = F.concat(piece(0, F.array("text")), F.when(strong.contains("&"), piece(1, parts(strong, "&"))).otherwise(none),
                      F.when(F.size(parts(c("text"), ",")) > 1, piece(2, parts(c("text"), ","))).otherwise(none), F.when(F.size(w) > 1, spans).otherwise(none))
-    rows = held.where("text <> ''").select(key, F.explode(every).alias("p")).select(key, "p.*")
+    # written once: three joins read the pieces, and each would else compute them again
+    rows = cut(held.where("text <> ''").select(key, F.explode(every).alias("p")).select(key, "p.*"), "author-pieces")
     distinct = rows.where("stage > 0").select("piece").distinct()
     whole = rows.where("stage = 0").select("piece").distinct()
     seen = resolve(whole, "piece", known.aliases).withColumn("whole", F.lit(True)).unionByName(resolve(may_be_authors(distinct, "piece", known), "piece", known.aliases).withColumn("whole", F.lit(False)))
-    seen = seen.where(is_substantial(c("canonical"))).select("piece", "whole", "canonical")
+    seen = cut(seen, "author-hits").where(is_substantial(c("canonical"))).select("piece", "whole", "canonical")
     met = rows.withColumn("whole", c("stage") == 0).join(seen, ["piece", "whole"], "left")
     per = met.groupBy(key, "stage").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(c("canonical").isNotNull(), F.struct("start", "stop", c("canonical").alias("author"))))).alias("hits"))
     k = F.size("hits")
@@ -302,3 +307,18 @@ def known_authors(texts: DataFrame, key: str, column: str, known: Catalog) -> Da
     named = good.select(key, "stage", F.when(c("stage") < 3, F.transform("hits", lambda h: h["author"])).otherwise(_best_paths("hits")).alias("authors"))
     first = named.where(F.size("authors") > 0).groupBy(key).agg(F.min_by("authors", "stage").alias("authors"))
     return held.select(key).join(first, key, "left").select(key, distinct_names(F.coalesce("authors", F.array().cast("array<string>"))).alias("authors"))
+
+
+def swapped_back(books: DataFrame, key: str, known: Catalog) -> DataFrame:
+    """``books`` (title, creators) with title and creators exchanged where the title names known authors and the creators none.
+
+    Such a title becomes empty and its authors the creators; ``swapped`` tells them.
+    """
+    c = F.col
+    none = F.array().cast("array<string>")
+    both = books.select(key, F.explode(F.array(F.struct(F.lit("t").alias("k"), F.coalesce("title", F.lit("")).alias("x")), F.struct(F.lit("c").alias("k"), F.array_join(F.coalesce("creators", none), " & ").alias("x")))).alias("e"))
+    got = known_authors(both.select(F.struct(key, "e.k").alias("_at"), "e.x"), "_at", "x", known)
+    wide = got.groupBy(c(f"_at.{key}").alias(key)).agg(F.first(F.when(c("_at.k") == "t", c("authors")), ignorenulls=True).alias("_t"), F.first(F.when(c("_at.k") == "c", c("authors")), ignorenulls=True).alias("_c"))
+    met = books.join(wide, key, "left")
+    swap = F.coalesce((F.size("_t") > 0) & (F.size("_c") == 0), F.lit(False))
+    return met.withColumns({"creators": F.when(swap, c("_t")).otherwise(c("creators")), "title": F.when(swap, "").otherwise(c("title")), "swapped": swap}).drop("_t", "_c")

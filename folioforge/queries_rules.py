@@ -662,3 +662,25 @@ def search_variants(spark: SparkSession, d: str) -> DataFrame:
 def local_terms(spark: SparkSession, d: str) -> DataFrame:
     """Search terms of the local catalog for every book."""
     return searches.local_terms(table(spark, d, "books"), "book_id")
+
+
+@query()
+def display_names(spark: SparkSession, d: str) -> DataFrame:
+    """Given names first, of every merged author's last-first form."""
+    rows = table(spark, d, "author_rows").select("row_id", "author_last_first").where("author_last_first is not null")
+    return rows.select("row_id", titles.display_name(F.col("author_last_first")).alias("shown"))
+
+
+@query()
+def swapped_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Books whose title is a known author and whose creators are none, exchanged."""
+    got = authors.swapped_back(table(spark, d, "books"), "book_id", _catalog(spark, d))
+    return got.select("book_id", "title", F.array_join(F.coalesce("creators", F.array().cast("array<string>")), "|").alias("creators"), "swapped")
+
+
+@query("SELECT count(*) AS files, count(m.k) AS matched FROM (SELECT o_orderkey AS k FROM orders) f LEFT JOIN (SELECT o_orderkey AS k FROM orders) m USING (k)")
+def manifest_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the folder, and those among them the manifest knows by name."""
+    files, held = _manifest(spark, d)
+    met = files.select(F.lower("name").alias("key")).join(held.select("key", F.lit(1).alias("m")), "key", "left")
+    return met.agg(F.count(F.lit(1)).alias("files"), F.count("m").alias("matched"))

@@ -214,3 +214,30 @@ def test_searches_and_updates(spark):
     assert u[1]["creators"] == ["Kot Jan", "Lis Ewa"] and u[1]["series_index"] == "2.05" and u[1]["subjects"] == ["fantasy", "magia", "x"] and u[1]["isbns"] == ["9781234567897"] and u[1]["other_ids"] == ["goodreads:12"]
     assert u[2]["series"] is None and u[2]["creators"] == []
     assert one(spark, titles.distinct_labels, " Killim, Killim ;  Arka |  ") == ["Killim", "Arka"]
+
+
+def test_stores_and_names(spark, tmp_path):
+    from folioforge.sources import stores
+
+    known = catalog(spark, "Ann Aguirre", "Robert Ludlum")
+    assert stores.load_catalog(spark, str(tmp_path / "c"), "x") is None
+    stores.save_catalog(known, str(tmp_path / "c"), "x")
+    again = stores.load_catalog(spark, str(tmp_path / "c"), "x")
+    assert sorted(again.aliases.collect()) == sorted(known.aliases.collect()) and stores.load_catalog(spark, str(tmp_path / "c"), "y") is None
+    rows = spark.createDataFrame([(1, "Ludlum Robert", ["Inny Tekst"]), (2, "Dom", ["Ann Aguirre"]), (3, None, None)], "i int, title string, creators array<string>")
+    got = {r["i"]: (r["title"], r["creators"], r["swapped"]) for r in authors.swapped_back(rows, "i", known).collect()}
+    assert got == {1: ("", ["Robert Ludlum"], True), 2: ("Dom", ["Ann Aguirre"], False), 3: (None, None, False)}
+    (tmp_path / "cache.json").write_text('{"json:https://a.pl/x:1": "{}", "json:u": null, "text:https://b": "<html>"}')
+    cache = stores.read_cache(spark, str(tmp_path / "cache.json"))
+    assert sorted((r["kind"], r["url"]) for r in cache.collect()) == [("json", "https://a.pl/x:1"), ("json", "u")]
+    assert stores.update_cache(cache, spark.createDataFrame([("json", "u", "{1}")], "kind string, url string, body string")).count() == 2
+    hosts = spark.createDataFrame([("https://a.pl/x",), ("http://www.a.pl",), ("https://ba.pl",), ("junk",), (None,)], "u string")
+    assert [r[0] for r in hosts.select(stores.is_host(F.col("u"), "a.pl")).collect()] == [True, True, False, False, False]
+    report = plans.report(spark.createDataFrame([("a; b", "c", "s", "t", "Kot", "", None, "Dom", "", "x", ["1"], [], 90, [], [], True, False, None, None, None)], f"source_name string, target_name string, source_folder string, target_folder string, author string, series string, volume {V}, title string, genre string, source string, identifiers array<string>, notes array<string>, confidence int, review_reasons array<string>, decision_reasons array<string>, online_checked boolean, online_applied boolean, status string, metadata_status string, archive_source_path string"), "copy", True)
+    assert len(report.columns) == 27
+    plans.write_report(report, str(tmp_path / "r"))
+    back = stores.read_report(spark, str(tmp_path / "r")).first()
+    assert back["source_name"] == "a; b" and back["execution_status"] == "planned" and back["tom"] == "Tom 00.00"
+    assert one(spark, titles.display_name, "van Lustbader Eric") == "Eric van Lustbader" and one(spark, titles.display_name, "Kot") == "Kot"
+    assert one(spark, titles.keeps_authors, "Kot Jan & Lis Ewa", "Kot Jan") and not one(spark, titles.keeps_authors, "Kot Jan", "Lis Ewa")
+    assert one(spark, titles.keeps_authors, "Kot Jan & Lis Ewa", "K J & Lis Ewa") and not one(spark, titles.keeps_authors, "Kot Jan & Lis Ewa", "Kot Janek & Lis Ewa")
