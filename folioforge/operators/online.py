@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioforge.functions.text import clean, clean_series, extract_isbns, last_first, match_text, most_alike, similarity
+from folioforge.functions.text import clean, clean_series, extract_isbns, last_first, match_text, most_alike
 from folioforge.functions.titles import is_polish, keyword_genre, split_authors
+from folioforge.runtime import cut
 
 CONSENSUS_BONUS, MARGIN, AMBIGUOUS_COST, EFFORT_COST = 25, 25, 10, 15
 # What a provider's score gains, the catalog whose hits count as local, and the order of providers by mode.
@@ -55,11 +56,12 @@ def rank_pairs(pairs: DataFrame, books: DataFrame, online: DataFrame) -> DataFra
     of = lambda title, people: (
         clean(title).alias("t"), match_text(title).alias("m"), author_match_keys(people).alias("a"), extract_isbns(F.coalesce("identifiers", F.array())).alias("n"))
     people = F.flatten(F.transform(F.coalesce("creators", F.array()), split_authors))
-    b = books.select("book_id", F.struct(*of(known_title(books), people)).alias("b"))
-    o = online.select("online_id", F.struct(*of(F.col("title"), F.coalesce("authors", F.array()))).alias("o"))
+    # each row's keys once, not once per pair
+    b = cut(books.select("book_id", F.struct(*of(known_title(books), people)).alias("b")), "rank-books")
+    o = cut(online.select("online_id", F.struct(*of(F.col("title"), F.coalesce("authors", F.array()))).alias("o")), "rank-online")
     met = pairs.join(b, "book_id").join(o, "online_id").select(
         "book_id", "online_id", F.arrays_overlap("b.n", "o.n").alias("hit"), ((F.col("b.t") != "") & (F.col("b.m") == F.col("o.m"))).alias("title_equal"),
-        F.arrays_overlap("b.a", "o.a").alias("author_equal"), similarity(F.col("b.t"), F.col("o.t")).alias("title_sim"), most_alike(F.col("b.a"), F.col("o.a")).alias("author_sim"))
+        F.arrays_overlap("b.a", "o.a").alias("author_equal"), most_alike(*[F.filter(F.array(m), lambda x: x != "") for m in ("b.m", "o.m")]).alias("title_sim"), most_alike(F.col("b.a"), F.col("o.a")).alias("author_sim"))
     r = rank_ladder(*map(F.col, ("hit", "title_equal", "author_equal", "title_sim", "author_sim")))
     return met.select("book_id", "online_id", r.alias("r")).select("book_id", "online_id", "r.score", "r.reason")
 

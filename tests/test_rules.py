@@ -241,3 +241,10 @@ def test_stores_and_names(spark, tmp_path):
     assert one(spark, titles.display_name, "van Lustbader Eric") == "Eric van Lustbader" and one(spark, titles.display_name, "Kot") == "Kot"
     assert one(spark, titles.keeps_authors, "Kot Jan & Lis Ewa", "Kot Jan") and not one(spark, titles.keeps_authors, "Kot Jan", "Lis Ewa")
     assert one(spark, titles.keeps_authors, "Kot Jan & Lis Ewa", "K J & Lis Ewa") and not one(spark, titles.keeps_authors, "Kot Jan & Lis Ewa", "Kot Janek & Lis Ewa")
+
+
+def test_empty_titles_are_not_alike(spark):
+    books = spark.createDataFrame([(1, "", "", None, None)], "book_id int, title string, core string, creators array<string>, identifiers array<string>")
+    found = spark.createDataFrame([(5, "", None, None), (6, "Dom", None, None)], "online_id int, title string, authors array<string>, identifiers array<string>")
+    got = online.rank_pairs(spark.createDataFrame([(1, 5), (1, 6)], "book_id int, online_id int"), books, found)
+    assert sorted((r["online_id"], r["score"], r["reason"]) for r in got.collect()) == [(5, 100, "approx"), (6, 100, "approx")]
