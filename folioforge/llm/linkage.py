@@ -152,8 +152,9 @@ def candidates(b: DataFrame, o: DataFrame, df: DataFrame) -> DataFrame:
     series, is enough; without either all rare title words must agree, or two where a side names no person.
     """
     of_b, of_o = _families(b, o)
-    left = _block_keys(b, df, of_b).select("key", F.col("id").alias("book_id"), F.col("need").alias("n1"), F.col("nameless").alias("l1"))
-    right = _block_keys(o, df, of_o).select("key", F.col("id").alias("online_id"), F.col("need").alias("n2"), F.col("nameless").alias("l2"))
+    # written between the steps, so that no plan holds all of them: the driver's memory goes with the size of a plan
+    left = cut(_block_keys(b, df, of_b), "book-keys").select("key", F.col("id").alias("book_id"), F.col("need").alias("n1"), F.col("nameless").alias("l1"))
+    right = cut(_block_keys(o, df, of_o), "online-keys").select("key", F.col("id").alias("online_id"), F.col("need").alias("n2"), F.col("nameless").alias("l2"))
     met = left.join(right, "key").groupBy("book_id", "online_id").agg(
         F.count_if(F.col("n1") > 0).alias("n"), F.min(F.least("n1", "n2")).alias("need"), F.max(F.col("l1") | F.col("l2")).alias("nameless"))
     return met.where("need = 0 OR n >= need OR nameless").select("book_id", "online_id")
@@ -268,7 +269,7 @@ def link_works(books: DataFrame, guesses: DataFrame, online: DataFrame) -> DataF
     b, o, pairs = blocked(books, guesses, online)
     carried = carried_titles(b.select("id", "c").unionByName(o.select(F.col("id").cast("string").alias("id"), "c")))
     common = b.select("id", F.explode("c.titles").alias("t")).join(carried, "t", "left_semi").groupBy("id").agg(F.collect_list("t").alias("carried"))
-    b = b.join(common, "id", "left")
+    b, pairs = cut(b.join(common, "id", "left"), "carried"), cut(pairs, "pairs")
     voted = (
         pairs.join(b.select(F.col("id").alias("book_id"), F.col("c").alias("bc"), "g", "carried"), "book_id")
         .join(o.select(F.col("id").alias("online_id"), F.col("c").alias("oc")), "online_id")
