@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from folioforge.llm.name_rules import edits, full_forms as full, given_keys, given_likeness, likeness
-from folioforge.llm.name_variants import LINKED, average_linkage, frequent_words, link_names
+from folioforge.llm.name_variants import LINKED, average_linkage, cosine_pairs, frequent_words, link_names, rule_pairs, vectors
 
 
 def test_frequent_families_are_linked(spark):
@@ -71,3 +71,37 @@ def test_large_components_use_the_same_likeness(spark):
     sim = {(x, y): s for x in range(len(inside)) for y in range(x + 1, len(inside)) if (s := likeness(words[inside[x]], words[inside[y]], common, 2)) > 0}
     want = average_linkage(len(inside), sim, LINKED)
     assert [got[i] for i in inside] == [inside[c] for c in want]
+
+
+def test_names_that_only_share_letters_never_meet(spark):
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("bdgk") + rng.choice("aei") for _ in range(k))
+    families = [word(4) for _ in range(150)]
+    given = ["jan", "janek", "j", "ewa", "ewka", "olek", "aleksander", "wiktor", "wiktro", "zofia"]
+    names = set()
+    for f in families:
+        typo = f[:-2] + f[-1] if rng.random() < 0.5 else f[:2] + f[3] + f[2] + f[4:]
+        for g in rng.sample(given, 4):
+            names |= {f"{g} {f}", f"{rng.choice([f, typo])} {g}", f"{g} {rng.choice(given)} {typo}"}
+    names = sorted(names)
+    words = [n.split() for n in names]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    known = df.withColumn("words", F.split("name", " "))
+    common, heavy = frequent_words(known)
+    assert not heavy
+    met = {(r["a"], r["b"]) for r in rule_pairs(known, common, heavy).collect()}
+    alike = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if likeness(words[i], words[j], common) >= LINKED}
+    every = {(r["a"], r["b"]): r["cosine"] for r in cosine_pairs(vectors(known), 0.0).collect()}
+    assert alike <= met and len(every) > 4 * len(met)
+    few = spark.createDataFrame(sorted(alike), "a long, b long")
+    ids = few.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    assert {(r["a"], r["b"]): r["cosine"] for r in cosine_pairs(vectors(known, ids), 0.0, few).collect()} == {k: v for k, v in every.items() if k in alike}
+
+
+def test_rule_pairs_of_heavy_families(spark):
+    fill = [f"{a}{b}{c} kowalski" for a in "bdgkl" for b in "aei" for c in ("nd", "rd", "tm")]
+    names = fill + ["ewka kowalski", "zen kowalski", "zen kowalksi", "ewka nowak", "zen nowak"]
+    known = spark.createDataFrame(list(enumerate(names)), "id long, name string").withColumn("words", F.split("name", " "))
+    met = {tuple(sorted((names[r["a"]], names[r["b"]]))) for r in rule_pairs(known, frozenset({"zen"}), ["kowalski"]).collect()}
+    # a name one edit from its own full form is alike to any by the rules; the others of a heavy family are met by family_pairs
+    assert {p for p in met if "ewka kowalski" not in p} == {("ewka nowak", "zen nowak")} and len(met) == len(fill) + 3
