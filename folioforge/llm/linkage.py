@@ -23,9 +23,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from folioforge.llm.work_features import FUNCTIONS, book_claims, online_claims, series_key, votes
+from folioforge.llm.work_features import FIELD, FUNCTIONS, ITEM, LISTS, book_claims, code_votes, online_claims, series_key, unpacked, vote_code
 from folioforge.runtime import cut
 
 _TEXTS = T.ArrayType(T.StringType())
@@ -50,10 +50,15 @@ def _series_keys(cells: pa.Array) -> pa.Array:
     return pa.array([sorted({k for x in c or [] if (k := series_key(x))}) for c in cells.to_pylist()], pa.list_(pa.string()))
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _votes(b: pa.Array, o: pa.Array, guesses: pa.Array, carried: pa.Array) -> pa.Array:
-    rows = zip(*(x.to_pylist() for x in (b, o, guesses, carried)))
-    return pa.array([votes(x, y, g or [], t or []) for x, y, g, t in rows], pa.list_(pa.int32()))
+@F.arrow_udf(T.IntegerType())
+def _votes(b: pa.Array, o: pa.Array) -> pa.Array:
+    return pa.array([vote_code(unpacked(x), unpacked(y)) for x, y in zip(b.to_pylist(), o.to_pylist())], pa.int32())
+
+
+def _packed(**lists: str) -> Column:
+    """Claims as the one text that ``unpacked`` reads."""
+    every = [F.coalesce(F.array_join(lists.get(n, f"c.{n}"), ITEM), F.lit("")) if lists.get(n, n) else F.lit("") for n in LISTS]
+    return F.concat_ws(FIELD, *every, "c.series", F.col("c.volume").cast("string"))
 
 
 #: Share of persons up to which a name's outer word counts as a family name; the rarer of the two always does.
@@ -127,7 +132,11 @@ def _families(b: DataFrame, o: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _block_keys(rows: DataFrame, df: DataFrame, families: DataFrame) -> DataFrame:
-    """(id, key, need, nameless) of the rows; ``df`` counts each title word."""
+    """(id, key, need, nameless, joint) of the rows; ``df`` counts each title word.
+
+    A row of one title with three rare words has their three pairs as keys, and all must be met where
+    the other row has no other: between two such rows the ``joint`` key of all three decides, and the pairs need not meet.
+    """
     titles = rows.select("id", F.explode("c.titles").alias("t")).distinct()
     # a word of one row alone can meet none
     word = titles.select("id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("length(w) >= 3").join(df.where("df > 1"), "w")
@@ -142,7 +151,11 @@ def _block_keys(rows: DataFrame, df: DataFrame, families: DataFrame) -> DataFram
     family = families.join(with_family, "id").select("id", F.concat(F.lit("@"), "f", F.lit(" "), "k").alias("key"), F.lit(0).alias("need"))
     isbn = rows.select("id", F.explode("c.isbns").alias("key"), F.lit(0).alias("need"))
     keys = two.union(family).union(isbn).groupBy("id", "key").agg(F.min("need").alias("need"))
-    return keys.join(rows.select("id", (F.size(F.expr(_PERSONS)) == 0).alias("nameless")), "id")
+    every = cut(keys.join(rows.select("id", (F.size(F.expr(_PERSONS)) == 0).alias("nameless")), "id"), "row-keys")
+    one = every.where("need = 3 AND NOT nameless").groupBy("id").agg(F.collect_list("key").alias("three")).where("size(three) = 3")
+    one = one.select("id", F.concat(F.lit("&"), F.array_join(F.array_sort("three"), " ")).alias("key"))
+    tagged = every.join(one.select("id", F.lit(True).alias("one")), "id", "left").select("id", "key", "need", "nameless", (F.col("one").isNotNull() & (F.col("need") == 3)).alias("joint"))
+    return tagged.unionByName(one.select("id", "key", F.lit(3).alias("need"), F.lit(False).alias("nameless"), F.lit(False).alias("joint")))
 
 
 def candidates(b: DataFrame, o: DataFrame, df: DataFrame) -> DataFrame:
@@ -153,10 +166,10 @@ def candidates(b: DataFrame, o: DataFrame, df: DataFrame) -> DataFrame:
     """
     of_b, of_o = _families(b, o)
     # written between the steps, so that no plan holds all of them: the driver's memory goes with the size of a plan
-    left = cut(_block_keys(b, df, of_b), "book-keys").select("key", F.col("id").alias("book_id"), F.col("need").alias("n1"), F.col("nameless").alias("l1"))
-    right = cut(_block_keys(o, df, of_o), "online-keys").select("key", F.col("id").alias("online_id"), F.col("need").alias("n2"), F.col("nameless").alias("l2"))
-    met = left.join(right, "key").groupBy("book_id", "online_id").agg(
-        F.count_if(F.col("n1") > 0).alias("n"), F.min(F.least("n1", "n2")).alias("need"), F.max(F.col("l1") | F.col("l2")).alias("nameless"))
+    left = cut(_block_keys(b, df, of_b), "book-keys").select("key", F.col("id").alias("book_id"), F.col("need").alias("n1"), F.col("nameless").alias("l1"), F.col("joint").alias("j1"))
+    right = cut(_block_keys(o, df, of_o), "online-keys").select("key", F.col("id").alias("online_id"), F.col("need").alias("n2"), F.col("nameless").alias("l2"), F.col("joint").alias("j2"))
+    met = left.join(right, "key").where("NOT (j1 AND j2)").groupBy("book_id", "online_id").agg(
+        F.sum(F.when(F.col("key").startswith("&"), 3).otherwise((F.col("n1") > 0).cast("int"))).alias("n"), F.min(F.least("n1", "n2")).alias("need"), F.max(F.col("l1") | F.col("l2")).alias("nameless"))
     return met.where("need = 0 OR n >= need OR nameless").select("book_id", "online_id")
 
 
@@ -270,18 +283,20 @@ def link_works(books: DataFrame, guesses: DataFrame, online: DataFrame) -> DataF
     carried = carried_titles(b.select("id", "c").unionByName(o.select(F.col("id").cast("string").alias("id"), "c")))
     common = b.select("id", F.explode("c.titles").alias("t")).join(carried, "t", "left_semi").groupBy("id").agg(F.collect_list("t").alias("carried"))
     b, pairs = cut(b.join(common, "id", "left"), "carried"), cut(pairs, "pairs")
+    # so many partitions whatever their bytes: the votes take time by the pairs
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     voted = (
-        pairs.join(b.select(F.col("id").alias("book_id"), F.col("c").alias("bc"), "g", "carried"), "book_id")
-        .join(o.select(F.col("id").alias("online_id"), F.col("c").alias("oc")), "online_id")
-        .select("book_id", "online_id", _votes("bc", "oc", "g", "carried").alias("v"))
+        pairs.join(b.select(F.col("id").alias("book_id"), _packed(guesses="g", carried="carried").alias("bc")), "book_id")
+        .repartition(parts, "online_id")
+        .join(o.select(F.col("id").alias("online_id"), _packed(guesses="", carried="").alias("oc")), "online_id")
+        .select("book_id", "online_id", _votes("bc", "oc").alias("v"))
     )
     voted = cut(voted, "votes")
     rows = voted.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()
-    patterns = np.array([r["v"] for r in rows], int).reshape(-1, len(FUNCTIONS))
+    patterns = np.array([code_votes(r["v"]) for r in rows], int).reshape(-1, len(FUNCTIONS))
     post = learn(patterns, np.array([r["n"] for r in rows], float))
-    known = spark.createDataFrame([(r["v"], float(p)) for r, p in zip(rows, post)], "v array<int>, confidence double")
-    named = [F.col("v")[i].alias(f) for i, f in enumerate(FUNCTIONS)]
-    return voted.join(F.broadcast(known), "v").select("book_id", "online_id", *named, "confidence")
+    known = spark.createDataFrame([(r["v"], *code_votes(r["v"]), float(p)) for r, p in zip(rows, post)], ", ".join(["v int", *(f"{f} int" for f in FUNCTIONS), "confidence double"]))
+    return voted.join(F.broadcast(known), "v").select("book_id", "online_id", *FUNCTIONS, "confidence")
 
 
 def matches(scored: DataFrame, least: float = 0.5) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from folioforge.llm.linkage import learn, link_works, matches
-from folioforge.llm.work_features import FUNCTIONS, book_claims, online_claims, stem_claims, title_claims, votes
+from folioforge.llm.linkage import _block_keys, _families, _packed, blocked, learn, link_works, matches
+from folioforge.llm.name_rules import edits
+from folioforge.llm.work_features import FUNCTIONS, book_claims, code_votes, online_claims, stem_claims, title_claims, unpacked, vote_code, votes
 
 VOL = "struct<major:int,minor:string>"
 BOOKS = f"book_id string, stem string, title string, creators array<string>, identifiers array<string>, meta_series string, meta_volume {VOL}, note string"
@@ -73,3 +75,58 @@ def test_defined_results(spark):
     scored = {(r["book_id"], r["online_id"]): r["confidence"] for r in link_works(books, guesses, online).collect()}
     assert scored[("b1", 1)] > 0.5 and scored.get(("b3", 2), 0.0) < 0.5
     assert link_works(books.limit(0), guesses, online).count() == 0
+
+
+def table_of_edits(x, y):
+    """Edits by the whole table, a swap of neighbours counting as one."""
+    rows = [list(range(len(y) + 1))]
+    for i, a in enumerate(x, 1):
+        row = [i]
+        for j, b in enumerate(y, 1):
+            v = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (a != b))
+            row.append(min(v, rows[i - 2][j - 2] + 1) if i > 1 and j > 1 and a == y[j - 2] and x[i - 2] == b else v)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def test_edits_equal_the_table():
+    rng = random.Random(4)
+    for _ in range(6000):
+        x, y = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in "xy")
+        assert all(edits(x, y, most) == min(table_of_edits(x, y), most + 1) for most in (1, 2, 4, 9)), (x, y)
+
+
+def test_pairs_by_joint_keys_and_votes_by_texts(spark):
+    rng = random.Random(6)
+    word = ["las", "dom", "kot", "zima", "rzeka", "miasto", "most", "ogien"]
+    title = lambda: " ".join(rng.sample(word, rng.choice([2, 3, 3, 3, 4])))
+    who = lambda: rng.choice(["Jan Kosunebon", "Ewa Lapotaru", "Adam Mirudelsk", "Zofia Wetogala"])
+    books = [(f"b{i}", "x" if rng.random() < 0.7 else title(), title(), [who()] if rng.random() < 0.8 else [], None, None, None, "") for i in range(60)]
+    online = [(i, title() if rng.random() < 0.8 else f"{title()}: {title()}", [who()] if rng.random() < 0.8 else [], [], None, None, "") for i in range(60)]
+    guesses = spark.createDataFrame([("b1", "Las")], "book_id string, series string")
+    b, o, pairs = blocked(spark.createDataFrame(books, BOOKS), guesses, spark.createDataFrame(online, ONLINE))
+    got = {(r[0], r[1]) for r in pairs.collect()}
+    df = b.select("c.titles").union(o.select("c.titles")).select(F.explode(F.array_distinct(F.split(F.array_join("titles", " "), " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    sides = [_block_keys(x, df, f).collect() for x, f in zip((b, o), _families(b, o))]
+    left, right = ({}, {})
+    for side, rows in zip((left, right), sides):
+        for r in rows:
+            if not r["key"].startswith("&"):
+                side.setdefault(r["id"], {})[r["key"]] = (r["need"], r["nameless"])
+    want = set()
+    for i, x in left.items():
+        for j, y in right.items():
+            if met := x.keys() & y.keys():
+                need = min(min(x[k][0], y[k][0]) for k in met)
+                if need == 0 or sum(x[k][0] > 0 for k in met) >= need or any(x[k][1] or y[k][1] for k in met):
+                    want.add((i, j))
+    assert got == want and len(want) > 100
+    # two rows of one title each meet by the joint key alone
+    assert all(any(r["joint"] for r in rows) and any(r["key"].startswith("&") for r in rows) for rows in sides)
+    claims = [r.asDict(recursive=True) for r in b.select("c", "g").collect()], [r.asDict(recursive=True) for r in o.select("c").collect()]
+    carried = F.array(F.lit("las dom"), F.lit("zima"))
+    texts = [r[0] for r in b.withColumn("t", carried).select(_packed(guesses="g", carried="t")).collect()]
+    other = [r[0] for r in o.select(_packed(guesses="", carried="")).collect()]
+    for x, tx in zip(claims[0], texts):
+        for y, ty in zip(claims[1], other):
+            assert code_votes(vote_code(unpacked(tx), unpacked(ty))) == votes(x["c"], y["c"], x["g"] or [], ["las dom", "zima"])
